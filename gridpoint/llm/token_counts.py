@@ -13,18 +13,20 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpoint.llm.common import table, utf8
 
 WORDS_KEPT = 600_000
+#: White space as Unicode has it, for a character class. Fixed values.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -35,6 +37,15 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+@lru_cache
+def category_ranges(category: str) -> str:
+    """The characters of a general category, as ranges for a character class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == category]
+    first = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
+    last = [c for c, behind in zip(found, [*found[1:], -2]) if c != behind - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
 class WordPairMerger:
     """Counts the tokens of texts under a vocabulary file whose words end in a suffix, white space dropped."""
 
@@ -53,8 +64,9 @@ class WordPairMerger:
         for rank, (left, right) in enumerate(model["merges"]):
             self.merges.setdefault((number(left), number(right)), (rank, number(left + right)))
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = re.compile(pattern.replace(r"\p{L}", category_ranges("L")).replace(r"\p{N}", category_ranges("N")).replace(r"\s", WHITE))
         self.counted: dict[str, int] = {}
 
     def word(self, word: str) -> int:
@@ -139,7 +151,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
         model = merger(path)
         for batch in found:
             texts = batch.column(1)
-            counts = [model.count(t) if t else 0 for t in map(pa.Scalar.as_py, texts)]
+            counts = [model.count(t) if t else 0 for t in (x.as_py() for x in texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.octet_length(utf8(text)).cast("long").alias("n_bytes"))
