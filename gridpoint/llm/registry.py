@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts",)
+MODULES = ("token_counts", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
