@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "packing")
+MODULES = ("token_counts", "packing", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
