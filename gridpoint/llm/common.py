@@ -107,3 +107,113 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for arrays of spans."""
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), "down")[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+class Bloom:
+    """Blocks of bits: which 64-bit keys may be in a set. A key's bits lie in one block, so blocks are made independently."""
+
+    BLOCK_BITS = 1 << 19
+    PROBES = 4
+
+    def __init__(self, blocks: int):
+        self.blocks = blocks
+        self.bits = np.zeros((blocks, self.BLOCK_BITS // 8), np.uint8)
+
+    @classmethod
+    def places(cls, keys: np.ndarray) -> list[np.ndarray]:
+        mixed = mix(keys.view(U64) ^ U64(0x5851F42D4C957F2D))
+        step = (mixed >> U64(32)) | U64(1)
+        return [((mixed + U64(k) * step) & U64(cls.BLOCK_BITS - 1)).astype(np.int64) for k in range(cls.PROBES)]
+
+    def block_of(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(U64)) % U64(self.blocks)).astype(np.int64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        block, out = self.block_of(keys), np.ones(len(keys), bool)
+        for place in self.places(keys):
+            out &= (self.bits[block, place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def bloom(df: DataFrame, column: str, most_bits: int = 1 << 30) -> Bloom:
+    """A filter of a column of longs, about 12 bits a key and most_bits at most: fuller filters let more pass, never less."""
+    out = Bloom(max(1, min(most_bits, 12 * df.count()) // Bloom.BLOCK_BITS))
+    blocks = out.blocks
+
+    def dealt(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            keys = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((mix(keys.view(U64)) % U64(blocks)).astype(np.int32)), batch.column(0)], ["block", "key"])
+
+    def fill(keys: pa.Table) -> pa.Table:
+        bits = np.zeros(Bloom.BLOCK_BITS, bool)
+        for place in Bloom.places(keys.column("key").to_numpy()):
+            bits[place] = True
+        return pa.table({"block": pa.array([keys.column("block")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    rows = df.select(F.col(column).alias("key")).mapInArrow(dealt, "block int, key long").groupBy("block").applyInArrow(fill, "block int, bits binary")
+    for r in rows.toLocalIterator():  # bounded by most_bits
+        out.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+#: White space between words, and bytes with A-Z lower-cased.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of every row's bytes (lower-cased), and where each row's words begin (one more at the end)."""
+    low = LOWER[data]
+    inside = ~SPACE[low]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
+    after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return span_hashes(prefix_hashes(low), starts, ends), np.searchsorted(starts, offsets)
+
+
+def long_word_hashes(data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """word_hashes of one long row, a piece at a time; pieces end at white space."""
+    out, at = [], 0
+    while at < len(data):
+        size = most
+        while at + size < len(data):
+            spaces = np.flatnonzero(SPACE[data[at : at + size]])
+            if len(spaces):
+                size = int(spaces[-1]) + 1
+                break
+            size *= 2
+        piece = data[at : at + size]
+        out.append(word_hashes(piece, np.array([0, len(piece)]))[0])
+        at += size
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and sorted distinct hashes of its word shingles; a row with fewer words has one of all, without words none."""
+    step = U64(BASE)
+    for first, last in row_slices(offsets):
+        if last - first == 1 and offsets[last] - offsets[first] > (1 << 20):
+            words = long_word_hashes(data[offsets[first] : offsets[last]])
+            edges = np.array([0, len(words)])
+        else:
+            words, edges = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        n = max(0, len(words) - size + 1)
+        whole = np.zeros(n, U64)
+        for k in range(size):
+            whole = whole * step + words[k : k + n]
+        whole = mix(whole)
+        for i in range(last - first):
+            s, e = edges[i], edges[i + 1]
+            if e - s >= size:
+                yield first + i, np.unique(whole[s : e - size + 1])
+            elif e > s:
+                few = U64(int(e - s))
+                for word in words[s:e]:
+                    few = few * step + word
+                yield first + i, mix(np.array([few]))
+            else:
+                yield first + i, np.zeros(0, U64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "url_filter", "ann", "tiff", "token_counts", "language_id", "packing", "secrets")
+MODULES = ("mixing", "url_filter", "ann", "jaccard", "tiff", "token_counts", "language_id", "packing", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
