@@ -107,11 +107,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", with_: str = "[secret]") -> DataFrame:
-    """df with every live value replaced in its texts; widely copied examples stay. Keys are taken to be unique."""
-    values = F.array_sort(F.array_distinct(F.transform("live", lambda s: s["value"])), lambda a, b: F.length(b) - F.length(a))
-    live = scan(df, key, text, owner).where(F.size("live") > 0).select(F.col(key).alias("_masked"), values.alias("_values"))
+    """df with every live value replaced in its texts; widely copied examples stay. Rows that share a key share their values."""
+    found = scan(df, key, text, owner).where(F.size("live") > 0).select(F.col(key).alias("_masked"), F.transform("live", lambda s: s["value"]).alias("v"))
+    values = F.array_sort(F.array_distinct(F.flatten(F.collect_list("v"))), lambda a, b: F.length(b) - F.length(a))
+    live = found.groupBy("_masked").agg(values.alias("_values"))
     cleaned = F.aggregate("_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(with_)))
-    out = df.join(live, df[key] == live["_masked"], "left")
+    out = df.join(live, df[key].eqNullSafe(live["_masked"]), "left")
     return out.select(*(F.when(F.col("_values").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in df.columns))
 
 
