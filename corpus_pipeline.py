@@ -14,15 +14,11 @@ from gridpoint.llm.common import table, written
 
 #: Share of the tokens that the mixture keeps.
 KEPT = 0.9
-#: A prediction that is ambiguous and below this score is rejected.
-LEAST_SCORE = 0.4
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier tells; undetermined ones go."""
-    known = language_id.identified(docs)
-    rejected = (F.col("_lang_pred") == "und") | (F.col("_ambiguous") & (F.col("_score") < LEAST_SCORE))
-    return known.where(~rejected).select(*docs.columns)
+    """Documents that the classifier rejects as undetermined go: no text, or no letter in it. Short ones stay."""
+    return language_id.identified(docs).where(F.col("_lang_pred") != "und").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
