@@ -73,6 +73,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(*values: Column, body: Callable[..., Column]) -> Column:
+    """body of several values, each computed once.
+
+    Inside a lambda only such values may be used, never columns of the table: the optimizer puts the expression behind a
+    column in the place where it is used once, and inside a lambda that place runs for every element.
+    """
+    packed = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return let(packed, lambda s: body(*(s[f"v{i}"] for i in range(len(values)))))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpoint.functions.text import as_number, escape, let, strip, triples_in, unescape
+from gridpoint.functions.text import as_number, bind, escape, let, strip, triples_in, unescape
 
 CELL = "struct<text:string,header:boolean,colspan:int,rowspan:int>"
 PLACED = "struct<text:string,header:boolean,colspan:int,rowspan:int,filler:boolean,covers:string,col:int>"
@@ -35,12 +35,13 @@ def _fill(state: Column) -> Column:
     free = F.get(F.filter(reach, lambda k: F.coalesce(F.element_at(pending, k)["n"], F.lit(0)) <= 0), F.lit(0))
 
     def filled(end: Column) -> Column:
-        columns = F.slice(reach, F.lit(1), end - col)
+        columns = F.sequence(col, end - 1)
         fillers = F.transform(columns, lambda k: _placed(F.lit(COVERED), F.lit(False), F.lit(1), F.lit(1), F.lit(True), F.coalesce(F.element_at(pending, k)["text"], F.lit("")), k))
         less = F.transform_values(pending, lambda k, v: F.struct(F.when((k >= col) & (k < end), v["n"] - 1).otherwise(v["n"]).alias("n"), v["text"].alias("text")))
         return F.struct(less.cast(PENDING).alias("pending"), end.alias("col"), F.concat(state["out"], fillers).cast(f"array<{PLACED}>").alias("out"))
 
-    return F.when(free > col, filled(free)).otherwise(state)
+    covered = F.coalesce(F.element_at(pending, col)["n"], F.lit(0)) > 0
+    return F.when(covered, let(free, filled)).otherwise(state)
 
 
 def _take(state: Column, c: Column) -> Column:
@@ -52,12 +53,14 @@ def _take(state: Column, c: Column) -> Column:
         under = F.element_at(pending, col)
         covers = F.when(filler, F.coalesce(under["text"], F.lit(""))).otherwise(F.lit(""))
         own = _placed(c["text"], c["header"], c["colspan"], c["rowspan"], filler, covers, col)
+        out = F.concat(s["out"], F.array(own)).cast(f"array<{PLACED}>")
         columns = F.sequence(col, col + c["colspan"] - 1)
         less = F.transform_values(pending, lambda k, v: F.struct(F.when(filler & (k == col), F.greatest(v["n"] - 1, F.lit(0))).otherwise(v["n"]).alias("n"), v["text"].alias("text")))
         covering = F.map_from_arrays(columns, F.transform(columns, lambda k: F.struct((c["rowspan"] - 1).alias("n"), c["text"].alias("text"))))
         others = F.map_filter(less, lambda k, v: (k < col) | (k >= col + c["colspan"]))
         after = F.when(c["rowspan"] > 1, F.map_concat(others.cast(PENDING), covering.cast(PENDING))).otherwise(less.cast(PENDING))
-        return F.struct(after.alias("pending"), (col + c["colspan"]).cast("int").alias("col"), F.concat(s["out"], F.array(own)).cast(f"array<{PLACED}>").alias("out"))
+        after = F.when((c["rowspan"] > 1) | filler, after).otherwise(pending)
+        return F.struct(after.alias("pending"), (col + c["colspan"]).cast("int").alias("col"), out.alias("out"))
 
     return let(F.when(filler, state).otherwise(_fill(state)), put)
 
@@ -138,7 +141,8 @@ def row_facts(rows: Column) -> Column:
 def body(rows: Column, facts: Column) -> Column:
     """The rows that carry data: those not all header, or where all are, those with a number."""
     every = F.forall(facts, lambda f: f["all_header"])
-    return F.filter(rows, lambda row, i: F.when(every, F.get(facts, i)["number"]).otherwise(~F.get(facts, i)["all_header"]))
+    return bind(rows, facts, every, body=lambda rows, facts, every: F.filter(
+        rows, lambda row, i: F.when(every, F.get(facts, i)["number"]).otherwise(~F.get(facts, i)["all_header"])))
 
 
 def row_label(row: Column, skip: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpoint.functions.text import CONTROL, clean, let, strip
+from gridpoint.functions.text import CONTROL, bind, clean, let, strip
 from gridpoint.operators.grid import CELL, cell, render, resolve
 
 # Patterns of the formats. Fixed values.
@@ -51,9 +51,7 @@ def visible(raw: Column) -> Column:
 def from_html(raw: Column) -> Column:
     """Rows of cells; a row of stacked numbers becomes as many rows as it has lines."""
 
-    def grid(body: Column) -> Column:
-        spans_rows = body.rlike(SPANS_ROWS)
-
+    def grid(body: Column, spans_rows: Column) -> Column:
         def row(inner: Column) -> Column:
             part = lambda m, i: F.regexp_extract(m, HTML_CELL, i)
             found = F.transform(F.regexp_extract_all(inner, F.lit(HTML_CELL), F.lit(0)), lambda m: F.struct(
@@ -64,14 +62,14 @@ def from_html(raw: Column) -> Column:
         rows = F.transform(F.regexp_extract_all(body, F.lit(HTML_ROW), F.lit(1)), row)
         return F.filter(F.flatten(rows), lambda r: F.size(r) > 0)
 
-    return let(visible(raw), grid)
+    return let(visible(raw), lambda body: bind(body, body.rlike(SPANS_ROWS), body=grid))
 
 
 def stacked(cells: Column, spans_rows: Column) -> Column:
     """One row, or k rows where at least two cells hold k bare numbers apart by breaks; the least k of the commonest."""
     counts = F.filter(F.transform(cells, lambda c: F.size(c["lines"])), lambda n: n > 1)
-    times = F.transform(counts, lambda n: F.struct((-F.size(F.filter(counts, lambda m: m == n))).alias("often"), n.alias("n")))
-    usual = F.coalesce(F.array_min(times)["n"], F.lit(1))
+    times = let(counts, lambda all_: F.array_min(F.transform(all_, lambda n: F.struct((-F.size(F.filter(all_, lambda m: m == n))).alias("often"), n.alias("n")))))
+    usual = F.coalesce(times["n"], F.lit(1))
     plain = F.array(F.transform(cells, lambda c: cell(clean(c["inner"]), c["header"], c["colspan"], c["rowspan"])))
 
     def split(k: Column) -> Column:
@@ -118,11 +116,11 @@ def from_csv(raw: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("row"), F.array().cast("array<array<string>>").alias("rows"))
     rows = F.filter(F.aggregate(fields, start, take, lambda s: s["rows"]), lambda r: F.exists(r, lambda c: c != ""))
 
-    def grid(r: Column) -> Column:
-        head = F.array_position(F.transform(r, lambda row: F.exists(row, lambda c: c.rlike(r"(?U)\d"))), F.lit(False)) - 1
+    def grid(r: Column, head: Column) -> Column:
         return F.transform(r, lambda row, i: F.transform(row, lambda c: cell(c, i == head, F.lit(1), F.lit(1))))
 
-    return let(rows, grid)
+    digits = lambda r: F.transform(r, lambda row: F.exists(row, lambda c: c.rlike(r"(?U)\d")))
+    return let(rows, lambda r: bind(r, F.array_position(digits(r), F.lit(False)) - 1, body=grid))
 
 
 def from_source(raw: Column) -> Column:
