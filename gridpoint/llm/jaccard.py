@@ -4,12 +4,13 @@ Sets are hashes of word shingles. Equal sets are one node. Two sets with a simil
 - light sets (fewer shingles than a boundary) enumerate the subsets of two in their prefix, the first n - ceil(t n) + 2
   shingles in one order for all documents;
 - heavy sets, and light ones that a heavy one may match, scan inverted lists of their prefix of n - ceil(t n) + 1.
-The order puts shingles that many prefixes hold last, so lists stay short; it is any fixed order as far as results go.
-The boundary is where enumerating costs less than scanning, by the sizes and list lengths counted over the corpus.
+The order puts shingles that many documents hold last, by counts over the whole corpus, so lists stay short; any fixed
+order gives the same results. The boundary is where enumerating costs less than scanning, by sizes and list lengths.
 
-Within a list nobody is paired with everybody. First each member meets the list's least member, and of all such pairs a
-set verifies the likeliest. Components follow; then only pairs of a list that are still in different components are
-verified, all of them, so no link between components is lost and groups of copies cost no pairs. Sets are compared whole.
+Within a list nobody is paired with everybody. First each member meets the list's pivot, the member with the fewest rarer
+shingles, and of all such pairs a set verifies the likeliest. Components follow; then only pairs of a list that are still
+in different components are verified: all whose sizes and places in the order allow a link, so no link between components
+is lost and groups of copies cost no pairs. Sets are compared whole.
 
 Null and empty texts, and texts without a word, have an empty set, are linked with nothing and are their own component.
 Texts with fewer words than a shingle are one shingle. Repeated rows fall together as equal sets. An empty table gives no
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, shingle_sets, table, utf8, written
 from gridpoint.llm.components import connected_components
 
-#: Shingles in so many prefixes are put last.
-FREQUENT = 48
+#: Shingles in so many documents are put last.
+FREQUENT = 16
 MOST_LIGHT = 48
 
 
@@ -47,21 +48,43 @@ def each_set(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray
     yield from shingle_sets(*bytes_of(batch.column(1)), size)
 
 
-def prefix_keys(shingles: np.ndarray, frequent: Bloom | None, boundary: int, percent: int) -> np.ndarray:
-    """A set's keys: subsets of two for a light set, single shingles for a heavy one or one that a heavy one may match."""
+def halves(shingles: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes, by which shingles are counted."""
+    return (shingles >> U64(32)).astype(np.int64)
+
+
+def prefix_keys(shingles: np.ndarray, frequent: Bloom, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's keys and their places: subsets of two (place -1) for a light set, shingles for a heavy one or one that a heavy one may match."""
     n = len(shingles)
     least = int(overlap_least(n, percent))
-    if frequent is not None:
-        late = frequent.holds(shingles)
-        shingles = np.concatenate([shingles[~late], shingles[late]])
+    late = frequent.holds(halves(shingles))
+    shingles = np.concatenate([shingles[~late], shingles[late]])
     single = shingles[: n - least + 1]
+    places = np.arange(len(single), dtype=np.int32)
     if n >= boundary:
-        return single
+        return single, places
     start = shingles[: n - least + 2]
     i, j = np.triu_indices(len(start), 1)
     a, b = start[i], start[j]
     subsets = mix(np.minimum(a, b) * U64(0x9E3779B97F4A7C15) + np.maximum(a, b))
-    return np.concatenate([subsets, single]) if n * 100 >= boundary * percent else subsets
+    alone = np.full(len(subsets), -1, np.int32)
+    if n * 100 < boundary * percent:
+        return subsets, alone
+    return np.concatenate([subsets, single]), np.concatenate([alone, places])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers by their gaps, two bytes each; 65535 is a step without a number."""
+    gaps = np.diff(values, prepend=0)
+    steps = gaps // 65535
+    out = np.full(int(steps.sum()) + len(gaps), 65535, "<u2")
+    out[np.cumsum(steps + 1) - 1] = gaps % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, "<u2")
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
 
 
 def boundary_by_cost(sizes: dict[int, int], scanned: float, percent: int) -> int:
@@ -98,57 +121,75 @@ def runs_of(found: Iterator[pa.RecordBatch], least_rows: int = 200_000) -> Itera
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes allow a link."""
-    return np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+def shared_least(a, b, percent: int):
+    """What two sets of these sizes share at least if they link; for numbers, arrays and columns."""
+    return (a + b) * percent / (100 + percent)
+
+
+def fits(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a link is possible between sets of these sizes whose first shared key has these places."""
+    sizes = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+    least = np.ceil(shared_least(a, b, percent) - 1e-6)
+    return sizes & (at_a <= a - least) & (at_b <= b - least)
+
+
+LISTS = "list long, node long, n int, place int, pivot long, pivot_n int, pivot_place int"
 
 
 def lists_of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (key, node, n), sorted, to lists of two or more different nodes: list, node, n and its least member, pivot."""
+    """Postings (key, place, node, n), sorted, to lists of two or more different nodes, each with its first member, the pivot."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 40
-    for key, node, n in runs_of(found):
+    for key, place, node, n in runs_of(found):
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n = key[fresh], node[fresh], n[fresh]
+        key, place, node, n = key[fresh], place[fresh], node[fresh], n[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lengths = np.diff(np.append(starts, len(key)))
         of = np.repeat(np.arange(len(starts)), lengths)
         keep = lengths[of] > 1
         first = starts[of]
-        columns = [number + of[keep], node[keep], n[keep], node[first][keep], n[first][keep]]
+        columns = [number + of[keep], node[keep], n[keep], place[keep], node[first][keep], n[first][keep], place[first][keep]]
         number += len(starts)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())))], ["list", "node", "n", "pivot", "pivot_n"])
+        names = [x.split()[0] for x in LISTS.split(", ")]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def cross_pairs(percent: int):
-    """Members of lists (list, component, node, n), sorted, to pairs of different components whose sizes allow a link."""
+def cross_pairs(percent: int, near: int = 64):
+    """Members of lists (list, component, node, n, place), sorted, to pairs of different components that may link."""
+
+    def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     def pairs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for list_, component, node, n in runs_of(found):
+        for list_, component, node, n, place in runs_of(found):
             starts = np.flatnonzero(np.concatenate([[True], list_[1:] != list_[:-1]]))
-            for s, e in zip(starts, np.append(starts[1:], len(list_))):
-                by = s + np.argsort(n[s:e], kind="stable")
-                c, x, k = component[by], node[by], n[by]
-                until = np.searchsorted(k * percent, k * 100, side="right")  # members that aren't too large
-                for i in range(len(by) - 1):
-                    j = np.arange(i + 1, until[i])
-                    j = j[c[j] != c[i]]
+            lengths = np.diff(np.append(starts, len(list_)))
+            small = np.repeat(lengths <= near, lengths)
+            for apart in range(1, int(min(lengths.max(), near))):  # members so many places apart, of all short lists at once
+                i = np.flatnonzero(small[:-apart] & (list_[apart:] == list_[:-apart]) & (component[apart:] != component[:-apart]))
+                i = i[fits(n[i], n[i + apart], place[i], place[i + apart], percent)]
+                if len(i):
+                    yield batch(node[i], node[i + apart])
+            for s, e in zip(starts[lengths > near], (starts + lengths)[lengths > near]):
+                for i in range(s, e - 1):
+                    j = np.arange(i + 1, e)
+                    j = j[(component[j] != component[i]) & fits(n[i], n[j], place[i], place[j], percent)]
                     if len(j):
-                        a = np.full(len(j), x[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, x[j])), pa.array(np.minimum(a, x[j]))], ["a", "b"])
+                        yield batch(np.full(len(j), node[i]), node[j])
 
     return pairs
 
 
-def gathered(found: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """The same rows, without those that repeat within a stretch, in larger batches."""
+def gathered(found: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The same pairs, each once within a stretch, in larger batches."""
     held, n = [], 0
 
     def out() -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).group_by(["a", "b"]).aggregate([]).combine_chunks()
-        return pa.RecordBatch.from_arrays([whole.column("a").combine_chunks(), whole.column("b").combine_chunks()], ["a", "b"])
+        return pa.RecordBatch.from_arrays([whole.column(name).combine_chunks() for name in ("a", "b")], ["a", "b"])
 
     for batch in found:
         held.append(batch)
@@ -183,27 +224,66 @@ class Join:
 
         return written(self.docs.mapInArrow(sign, f"key {self.kind}, n long, node long"), "signatures")
 
-    def keys(self, frequent: Bloom | None, boundary: int, nodes: bool) -> DataFrame:
-        """Prefix keys of every set; with nodes: node and n too."""
+    def frequent(self, shingles: int, flush: int = 4_000_000, range_size: int = 2_000_000) -> DataFrame:
+        """key: (halves of) shingles in FREQUENT documents or more. A row without a key tells how many others recur, and how often.
+
+        Tasks sort their shingles and send them by range, as gaps of two bytes; more than FREQUENT of one are as good as that many.
+        """
+        size, most = self.size, FREQUENT
+        ranges = max(1, shingles // range_size)
+        width = -(-(1 << 32) // ranges)
+
+        def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def out() -> pa.RecordBatch:
+                values = np.sort(np.concatenate(held))
+                values = values[np.concatenate([np.ones(min(most, len(values)), bool), values[most:] != values[:-most]])]
+                edges = np.searchsorted(values, np.arange(ranges + 1) * width)
+                some = np.flatnonzero(np.diff(edges))
+                return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed(values[edges[r] : edges[r + 1]] - r * width) for r in some], pa.binary())], ["range", "data"])
+
+            for batch in found:
+                for _, s in each_set(batch, size):
+                    held.append(halves(s))
+                    n += len(s)
+                if n >= flush:
+                    yield out()
+                    held, n = [], 0
+            if n:
+                yield out()
+
+        def count(rows: pa.Table) -> pa.Table:
+            first = rows.column("range")[0].as_py() * width
+            values = np.sort(np.concatenate([unpacked(d.as_py()) for d in rows.column("data")]))
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(starts, len(values)))
+            keys, rare = values[starts[n >= most]] + first, n[(n > 1) & (n < most)]
+            columns = [pa.array([None, *keys.tolist()], pa.int64()), *(pa.array([x] + [0] * len(keys), pa.int64()) for x in (len(rare), int(rare.sum())))]
+            return pa.Table.from_arrays(columns, ["key", "lists", "members"])
+
+        sent = self.docs.mapInArrow(emit, "range int, data binary")
+        return written(sent.groupBy("range").applyInArrow(count, "key long, lists long, members long"), "frequent")
+
+    def keys(self, frequent: Bloom, boundary: int) -> DataFrame:
+        """key, place, node, n: prefix keys of every set."""
         size, percent = self.size, self.percent
         shared = self.spark.sparkContext.broadcast(frequent)
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filter_ = shared.value
             for batch in found:
-                keys, node, count = [np.zeros(0, U64)], [], []
+                keys, places, node, n = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
                 for _, s in each_set(batch, size):
-                    if len(s) > 1 or (len(s) and not nodes):  # a single shingle links only to its equal
-                        own = prefix_keys(s, filter_, boundary, percent)
-                        keys.append(own)
-                        node += [(fingerprint(s), len(s))] if nodes else []
-                        count.append(len(own))
-                columns = [pa.array(np.concatenate(keys).view(np.int64))]
-                if nodes:
-                    columns += [pa.array(np.repeat(np.array([x for x, _ in node], np.int64), count)), pa.array(np.repeat(np.array([x for _, x in node], np.int32), count))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n"][: len(columns)])
-
-        return self.docs.mapInArrow(emit, "key long, node long, n int" if nodes else "key long")
+                    if len(s) > 1:  # a single shingle links only to its equal
+                        own, at = prefix_keys(s, filter_, boundary, percent)
+                        keys.append(own), places.append(at)
+                        node.append(fingerprint(s)), n.append(len(s))
+                count = [len(k) for k in keys[1:]]
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(places), np.repeat(np.array(node, np.int64), count), np.repeat(np.array(n, np.int32), count)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "node", "n"])
+
+        return self.docs.mapInArrow(emit, "key long, place int, node long, n int")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given nodes, and by chance of some more."""
@@ -235,31 +315,31 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     """key, n_shingles, component_id (the least key that links reach) of every row of df."""
     join = Join(df, key, text, size, percent)
     signatures = join.signatures()
-    counts = join.keys(None, 0, False).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    counts = written(counts.where("c > 1"), "prefix-counts")
-    facts = counts.where(F.col("c") < FREQUENT).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("members"), F.count(F.lit(1)).alias("lists")).first()
+    frequent = join.frequent(signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    facts = frequent.agg(F.coalesce(F.sum("lists"), F.lit(0)).alias("lists"), F.coalesce(F.sum("members"), F.lit(0)).alias("members")).first()
     sizes = {r["n"]: r["count"] for r in signatures.where(F.col("n").between(2, MOST_LIGHT)).groupBy("n").count().collect()}
     boundary = boundary_by_cost(sizes, facts["members"] / max(1, facts["lists"]), percent)
-    frequent = bloom(counts.where(F.col("c") >= FREQUENT), "key")
+    late = bloom(frequent.where(F.col("key").isNotNull()), "key")
 
-    postings = join.keys(frequent, boundary, True)
-    sorted_ = postings.repartition("key").sortWithinPartitions("key", "node")
-    lists = written(sorted_.mapInArrow(lists_of, "list long, node long, n int, pivot long, pivot_n int"), "lists")
+    sorted_ = join.keys(late, boundary).repartition("key").sortWithinPartitions("key", "place", "node")
+    lists = written(sorted_.mapInArrow(lists_of, LISTS), "lists")
 
-    stars = lists.where((F.col("node") != F.col("pivot")) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent))
+    least = F.ceil(shared_least(F.col("n"), F.col("pivot_n"), percent) - 1e-6)
+    may_link = (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent) & (F.col("place") <= F.col("n") - least) & (F.col("pivot_place") <= F.col("pivot_n") - least)
+    stars = lists.where((F.col("node") != F.col("pivot")) & may_link)
     likely = stars.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct(F.col("c"), F.col("pivot"))).alias("best"))
     first = written(likely.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct(), "likely")
     linked = written(join.verified(first), "linked")
     components = written(connected_components(linked), "components")
 
-    known = lists.join(components, "node", "left").select("list", F.coalesce("component", "node").alias("component"), "node", "n")
+    known = lists.join(components, "node", "left").select("list", F.coalesce("component", "node").alias("component"), "node", "n", "place")
     split = known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
     members = known.join(split, "list").repartition("list").sortWithinPartitions("list", "component", "node")
     crossing = cross_pairs(percent)
-    more = members.mapInArrow(lambda found: gathered(crossing(found)), "a long, b long").distinct()
-    more = written(more.join(first, ["a", "b"], "left_anti"), "crossing")
-    late = join.verified(more)
-    components = written(connected_components(linked.union(late)), "components")
+    met = members.mapInArrow(lambda found: gathered(crossing(found)), "a long, b long").distinct()
+    more = written(met.join(first, ["a", "b"], "left_anti"), "crossing")
+    found = join.verified(more)
+    components = written(connected_components(linked.union(found)), "components")
 
     least = signatures.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"))
     roots = least.join(components, "node", "left").withColumn("root", F.coalesce("component", "node"))

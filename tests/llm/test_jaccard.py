@@ -69,3 +69,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == 90 and got[95] == 90
+
+
+def test_gaps_round_trip():
+    import numpy as np
+
+    from gridpoint.llm.jaccard import packed, unpacked
+
+    for values in ([0, 0, 5, 65534, 65535, 65536, 131070, 1 << 31], [], [65535] * 3, [131071]):
+        assert unpacked(packed(np.array(values, np.int64))).tolist() == values
