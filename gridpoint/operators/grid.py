@@ -153,6 +153,6 @@ def row_label(row: Column, skip: Column) -> Column:
 
 def placed_cells(df: DataFrame, key: str = "table_id", placed: str = "placed") -> DataFrame:
     """The long form: a row for each cell, with its table, row, position and last column."""
-    rows = df.select(key, F.posexplode(placed).alias("row", "cells"))
-    cells = rows.select(key, "row", F.posexplode("cells").alias("pos", "c"))
+    rows = df.select(key, F.posexplode_outer(placed).alias("row", "cells")).where("row IS NOT NULL")
+    cells = rows.select(key, "row", F.posexplode_outer("cells").alias("pos", "c")).where("pos IS NOT NULL")
     return cells.select(key, "row", "pos", "c.*").withColumn("col_end", F.col("col") + F.col("colspan") - 1)

@@ -280,5 +280,9 @@ def extract(df: DataFrame, grid: Column, caption: str = "caption", footer: str =
 
 
 def points(tables: DataFrame, key: str = "table_id") -> DataFrame:
-    """One row for each point of extracted tables."""
-    return tables.select(key, F.posexplode("points").alias("ord", "p")).select(key, "ord", "p.*")
+    """One row for each point of extracted tables.
+
+    The outer form, filtered afterwards: for the inner one the optimizer infers a filter on the array, which it pushes
+    through every step above, writing them all out again.
+    """
+    return tables.select(key, F.posexplode_outer("points").alias("ord", "p")).where("ord IS NOT NULL").select(key, "ord", "p.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reading",)
+MODULES = ("reading", "gating")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
