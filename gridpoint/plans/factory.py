@@ -57,11 +57,11 @@ def csv_tables(rows: DataFrame) -> DataFrame:
     return tabled(rows, row, "Region,x (mm),y (mm),z (mm),t,mm3\n", "\n", between="\n")
 
 
-def packed_tables(rows: DataFrame, form: int) -> DataFrame:
-    """Coordinates of a line in one cell, in one of five forms."""
+def packed_tables(rows: DataFrame) -> DataFrame:
+    """Coordinates of a line in one cell, in one of five forms by table."""
     x, y, z = (text(n) for n in "xyz")
     forms = (F.concat_ws(" ", x, y, z), F.concat_ws(", ", x, y, z), F.concat(F.lit("("), F.concat_ws(", ", x, y, z), F.lit(")")), F.concat_ws("; ", x, y, z), F.concat(F.concat_ws(" ", x, y, z), F.lit(" (BA 40)")))
-    row = F.concat(F.lit("<tr><td>Area</td><td>"), forms[form], F.lit("</td><td>"), statistic(), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td>Area</td><td>"), F.get(F.array(*forms), (F.col("table_id") % 5).cast("int")), F.lit("</td><td>"), statistic(), F.lit("</td></tr>"))
     return tabled(rows, row, "<table><tr><th>Region</th><th>Peak coordinates</th><th>F value</th></tr>", "</table>")
 
 
@@ -87,7 +87,7 @@ def label_tables(rows: DataFrame) -> DataFrame:
     """One label cell that spans all lines of an order."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "x", "y", "z")))
     cells = F.transform(ordered, lambda r, i: F.concat(
-        F.lit("<tr>"), F.when(i == 0, F.concat(F.lit('<td rowspan="'), F.size(ordered).cast("string"), F.lit('">Left area '), F.col("table_id").cast("string"), F.lit("a</td>"))).otherwise(""),
+        F.lit("<tr>"), F.when(i == 0, F.concat(F.lit('<td rowspan="'), F.size(ordered).cast("string"), F.lit('">'), F.when(F.col("table_id") % 2 == 1, "Right").otherwise("Left"), F.lit(" area "), F.col("table_id").cast("string"), F.lit("a</td>"))).otherwise(""),
         F.lit("<td>"), F.concat_ws("</td><td>", r["x"].cast("string"), r["y"].cast("string"), r["z"].cast("string")), F.lit("</td></tr>")))
     return rows.groupBy("table_id").agg(F.concat(F.lit("<table><tr><th>Region</th><th>x</th><th>y</th><th>z</th></tr>"), F.array_join(cells, ""), F.lit("</table>")).alias("raw"))
 
