@@ -9,6 +9,7 @@
    probed one. There, list by list, columns are read in blocks: a candidate whose scaled partial distance is too far, by
    the hypothesis test of the random rotation, is abandoned; what is left by the last block is a true distance.
 4. Survivors are scored on the original vectors in double precision and ranked over all groups, ties to the lower key.
+5. A query that got fewer rows than there are candidates for goes to all lists, where only true bounds abandon candidates.
 
 Vectors that are null, zero, of another than the commonest length, or hold null or non-finite components take no part.
 Each query row gets its own ranking without itself; fewer candidates give fewer rows, an empty table none.
@@ -35,6 +36,8 @@ BLOCK = 16
 #: Width of the hypothesis test, in deviations of a partial distance.
 EPSILON = 2.1
 ROUNDING = 1e-4
+#: The same for the search of all lists, relative and absolute: wide, as it must not lose a candidate.
+WIDE = 1e-3, 1e-4
 
 
 def rotation(size: int, seed: int = 3) -> np.ndarray:
@@ -98,11 +101,11 @@ class Index:
         return points, start, np.argsort(distances(points, self.centroids), axis=1)[:, : self.probes]
 
 
-def scan(points: np.ndarray, queries: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) within the limits that no block abandons, and their squared distances."""
+def scan(points: np.ndarray, queries: np.ndarray, limit: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) within the limits that no block abandons, and their squared distances. exact: without the test."""
     size = points.shape[1]
     partial = distances(queries[:, :BLOCK], points[:, :BLOCK])
-    slack = lambda d: size / d / (1 + EPSILON / math.sqrt(d)) ** 2
+    slack = lambda d: 1.0 if exact else size / d / (1 + EPSILON / math.sqrt(d)) ** 2
     a, b = np.nonzero(partial * np.float32(slack(min(BLOCK, size))) <= limit[:, None]) if size > BLOCK else np.nonzero(partial <= limit[:, None])
     found = partial[a, b]
     for s in range(BLOCK, size, BLOCK):
@@ -114,7 +117,7 @@ def scan(points: np.ndarray, queries: np.ndarray, limit: np.ndarray) -> tuple[np
     return a, b, found
 
 
-def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int) -> pd.DataFrame:
+def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int, exact: bool = False) -> pd.DataFrame:
     """The best candidates of one group of lists for each query that came to it."""
     names = ["query", "score", "ids"]
     if rows.empty or asked.empty:
@@ -122,7 +125,8 @@ def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int
     asked = asked.sort_values("query", ignore_index=True)
     originals, q = np.array(rows["vector"].tolist(), np.float64), np.array(asked["vector"].tolist(), np.float64)
     points, queries = space.points(originals), space.queries(q)
-    limit = asked["start"].to_numpy(np.float32) * np.float32(1 + ROUNDING) + np.float32(1e-6)
+    more, least = WIDE if exact else (ROUNDING, 1e-6)
+    limit = asked["start"].to_numpy(np.float32) * np.float32(1 + more) + np.float32(least)
     lists = rows["list"].to_numpy()
     order = np.argsort(lists, kind="stable")
     edges = np.searchsorted(lists[order], np.arange(lists.max() + 2))
@@ -141,7 +145,7 @@ def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int
         a, b, d = a[by], b[by], d[by]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         last = rank == top
-        limit[a[last]] = np.minimum(limit[a[last]], d[last] * np.float32(1 + ROUNDING) + np.float32(1e-6))
+        limit[a[last]] = np.minimum(limit[a[last]], d[last] * np.float32(1 + more) + np.float32(least))
         keep = d <= limit[a]
         got_a[:], got_b[:], got_d[:] = [a[keep]], [b[keep]], [d[keep]]
         held = int(keep.sum())
@@ -150,7 +154,7 @@ def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int
         if k + 1 >= len(edges) or edges[k] == edges[k + 1]:
             continue
         at, own = order[edges[k] : edges[k + 1]], np.array(own)
-        a, b, d = scan(points[at], queries[own], limit[own])
+        a, b, d = scan(points[at], queries[own], limit[own], exact)
         got_a.append(own[a]), got_b.append(at[b]), got_d.append(d)
         held += len(a)
         if held > 40 * len(asked) + 100_000:
@@ -216,31 +220,53 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                 part = batch.slice(s, 512)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 _, start, lists = index.routed(x)
-                row, group, wanted = [], [], []
-                for i, own in enumerate(lists.tolist()):
-                    to: dict[int, list[int]] = {}
-                    for k in own:
-                        for g in range(groups[k][0], groups[k][0] + groups[k][1]) if k in groups else ():
-                            to.setdefault(g, []).append(k)
-                    row += [i] * len(to)
-                    group += to
-                    wanted += to.values()
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(start[row], pa.float32()), pa.array(wanted, pa.list_(pa.int32()))], ["group", "query", "vector", "start", "lists"])
-
-    routes = questions.select("query", "vector").mapInArrow(routed, "group int, query long, vector array<double>, start float, lists array<int>")
-
-    def search(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return search_group(rows, asked, shared.value.space, top)
-
-    hits = candidates.groupBy("group").cogroup(routes.groupBy("group")).applyInPandas(search, "query long, score double, ids array<long>")
-    order = [F.desc("score"), F.asc("id")]
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("r") <= top + 1)
-    each = best.select("query", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= top + 1)
-    answers = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(start, pa.float32()), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query", "vector", "start", "lists"])
+
+    asked = written(questions.select("query", "vector").mapInArrow(routed, "query long, vector array<double>, start float, lists array<int>"), "routes")
+
+    def hits(asked: DataFrame, exact: bool) -> DataFrame:
+        """The best candidates of every group that a query goes to: those of its lists, or all if exact."""
+
+        def dealt(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                for s in range(0, batch.num_rows, 512):
+                    part = batch.slice(s, 512)
+                    row, group, wanted = [], [], []
+                    for i, own in enumerate(part.column(3).to_pylist()):
+                        to: dict[int, list[int]] = {}
+                        for k in groups if exact else own:
+                            for g in range(groups[k][0], groups[k][0] + groups[k][1]) if k in groups else ():
+                                to.setdefault(g, []).append(k)
+                        row += [i] * len(to)
+                        group += to
+                        wanted += to.values()
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(part.column(c).take(take) for c in range(3)), pa.array(wanted, pa.list_(pa.int32()))], ["group", "query", "vector", "start", "lists"])
+
+        def search(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            return search_group(rows, asked, shared.value.space, top, exact)
+
+        routes = asked.mapInArrow(dealt, "group int, query long, vector array<double>, start float, lists array<int>")
+        return candidates.groupBy("group").cogroup(routes.groupBy("group")).applyInPandas(search, "query long, score double, ids array<long>")
+
     own = asking.join(questions.withColumnRenamed("query", "q"), ["hash", "vector"]).select(F.col("id").alias("query_id"), F.col("q").alias("query"))
-    left = F.slice(F.filter("near", lambda s: s["id"] != F.col("query_id")), 1, top)
-    out = own.join(answers, "query").select("query_id", F.posexplode(left).alias("i", "s"))
+
+    def ranked(own: DataFrame, hits: DataFrame) -> DataFrame:
+        """query_id, query, left: the nearest rows of every query row, none for one without hits."""
+        order = [F.desc("score"), F.asc("id")]
+        best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("r") <= top + 1)
+        each = best.select("query", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= top + 1)
+        answers = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
+        near = F.coalesce("near", F.array().cast("array<struct<r:int,id:long,score:double>>"))
+        return own.join(answers, "query", "left").select("query_id", "query", F.slice(F.filter(near, lambda s: s["id"] != F.col("query_id")), 1, top).alias("left"))
+
+    found = written(ranked(own, hits(asked, False)), "ranked")
+    whole = F.size("left") >= min(top, lengths[0]["count"] - 1)
+    short = found.where(~whole).select("query_id", "query")
+    if not short.isEmpty():
+        again = asked.join(short.select("query").distinct(), "query", "left_semi").select(*asked.columns)
+        found = found.where(whole).union(ranked(short, hits(again, True)))
+    out = found.select("query_id", F.posexplode("left").alias("i", "s"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("s.id").alias("vec_id"), F.col("s.score").alias("score"))
 
 

@@ -45,3 +45,18 @@ def test_few_and_none(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in nearest(df).collect()) == [(20, 1, 40), (20, 2, 41), (40, 1, 20), (40, 2, 41)]
     assert nearest(df.where("vec_id = 20")).count() == 0
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_every_query_is_full(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 40)) + 3 * rng.standard_normal((30, 40))[rng.integers(0, 30, 1500)]
+    x[::100] = 9 * rng.standard_normal((15, 40))  # outliers, all of them queries
+    ids = np.arange(1500)
+    found = nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), sample=2000)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: len(near) for q, near in got.items()} == {q: 20 for q in range(0, 1500, 20)}
+    assert all([n for n, _ in sorted(near)] == list(range(1, 21)) for near in got.values())
+    want = brute(ids, x)
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.95 * 20 * len(want)
