@@ -3,7 +3,7 @@
 Candidates are assignments, access keys, long hex runs (the base) and long tokens of mixed letters and digits. The hash of
 each candidate's value is aggregated over the corpus: in how many distinct repositories (documents) and by how many
 distinct owners (sources) it occurs. A value that many owners hold is a widely copied example; one that few hold, and
-that looks random, is live. Base spans are always reported; mixed tokens are reported (kind "owned") where they are live.
+that looks random, is live. Masking also takes a value in many repositories of few owners for an example. Base spans are always reported; mixed tokens are reported (kind "owned") where they are live.
 
 Null texts are empty: no span. A null owner counts as one owner. Repeated rows are reported one by one, and count once
 each as repositories only by distinct key. Positions are code points, end exclusive. Other columns aren't read.
@@ -28,6 +28,8 @@ SPAN = "struct<kind:int,start:int,end:int,value:string>"
 MOST_OWNERS = 2
 #: A live-looking value has so many distinct characters at least.
 LEAST_DISTINCT = 8
+#: In more repositories than this for each of its owners, a value is a copied example, however few they are.
+MOST_REPOSITORIES = 20
 
 
 def spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
@@ -80,11 +82,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return own.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """Per row: key, base counts, base (array of spans), live and copied (arrays of spans with value)."""
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_repositories: int | None = None) -> DataFrame:
+    """Per row: key, base counts, base (array of spans), live and copied (arrays of spans with value).
+
+    With most_repositories, a value in more repositories than that for each owner isn't live. Without, owners alone decide, as in OP10_SQL.
+    """
     rows = written(candidates(df, key, text, owner), "candidates")
     each = rows.where((F.size("base") > 0) | (F.size("mixed") > 0)).select("row", "key", "owner", F.explode(F.concat("base", "mixed")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
-    judged = each.join(ownership(each), "hash").withColumn("live", (F.col("n_owners") <= MOST_OWNERS) & random_looking(F.col("span.value")))
+    few = F.col("n_owners") <= MOST_OWNERS
+    if most_repositories is not None:
+        few = few & (F.col("n_repositories") <= F.col("n_owners") * most_repositories)
+    judged = each.join(ownership(each), "hash").withColumn("live", few & random_looking(F.col("span.value")))
     verdicts = judged.groupBy("row").agg(F.collect_list(F.when(F.col("live"), F.col("span"))).alias("live"), F.collect_list(F.when(~F.col("live"), F.col("span"))).alias("copied"))
     empty = F.array().cast(f"array<{SPAN}>")
     out = rows.join(verdicts, "row", "left")
@@ -108,7 +116,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", with_: str = "[secret]") -> DataFrame:
     """df with every live value replaced in its texts; widely copied examples stay. Rows that share a key share their values."""
-    found = scan(df, key, text, owner).where(F.size("live") > 0).select(F.col(key).alias("_masked"), F.transform("live", lambda s: s["value"]).alias("v"))
+    found = scan(df, key, text, owner, MOST_REPOSITORIES).where(F.size("live") > 0).select(F.col(key).alias("_masked"), F.transform("live", lambda s: s["value"]).alias("v"))
     values = F.array_sort(F.array_distinct(F.flatten(F.collect_list("v"))), lambda a, b: F.length(b) - F.length(a))
     live = found.groupBy("_masked").agg(values.alias("_values"))
     cleaned = F.aggregate("_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(with_)))

@@ -31,3 +31,11 @@ def test_base_and_copies(spark):
     masked = {r.doc_id: r for r in mask(df).collect()}
     assert "24be" not in masked[3].text and masked[100].text == copied and masked[1].text is None and masked[2].row == "x"
     assert scan(df.limit(0)).count() == 0
+
+
+def test_many_documents_of_one_source_are_copies(spark):
+    example, live = "token = 'Zx9Qw8rT7yU6iO5pA4sD3'", "token = 'a1B2c3D4e5F6a7B8c9D0'"
+    rows = [(i, f"page {i} {example}", "one") for i in range(60)] + [(100, f"page {live}", "one"), (101, f"other {live}", "one")]
+    masked = {r.doc_id: r.text for r in mask(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(masked[i] == t for i, t, _ in rows[:60])
+    assert "a1B2" not in masked[100] + masked[101]
