@@ -17,8 +17,8 @@ KEPT = 0.9
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects as undetermined go: no text, or no letter in it. Short ones stay."""
-    return language_id.identified(docs).where(F.col("_lang_pred") != "und").select(*docs.columns)
+    """Documents that the classifier rejects go: without a letter, or far from every language for their length. Short clean ones stay."""
+    return language_id.intelligible(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

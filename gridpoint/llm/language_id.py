@@ -33,6 +33,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MARGIN_SCALE = 60.0
 AMBIGUOUS = 0.9
+#: A text is unintelligible where its loss exceeds the median of its language's training texts of its length class by so many
+#: times their distance from median to upper decile, and half the loss of a text that says nothing of its language.
+FAR = 10.0
+LEAST_LOSS = 0.5 * float(np.log(2))
+#: Classes of fewer training texts take the limit of the next shorter class (shorter texts vary more); without one they reject none.
+LEAST_TEXTS = 30
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -126,11 +132,14 @@ class Model:
             sums[full] = np.add.reduceat(self.ratios[grams], offsets[full], axis=0, dtype=np.float64)
         return sums, counts
 
+    def losses(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of every text to every codeword."""
+        margin = sums / np.maximum(counts, 1)[:, None]
+        return (self.weights * np.logaddexp(0, -4 * margin[:, None, :] * self.code[None])).sum(axis=2)
+
     def decoded(self, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share, and its lead over the runner-up."""
-        margin = sums / np.maximum(counts, 1)[:, None]
-        loss = (self.weights * np.logaddexp(0, -4 * margin[:, None, :] * self.code[None])).sum(axis=2)
-        power = -MARGIN_SCALE * loss
+        power = -MARGIN_SCALE * self.losses(sums, counts)
         share = np.exp(power - power.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         ordered = np.sort(share, axis=1)
@@ -152,8 +161,8 @@ def fitted(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | Non
     return Model(langs, counts)
 
 
-def predicted(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """df with _lang_pred, _score and _ambiguous; its columns are carried along."""
+def predicted(df: DataFrame, model: Model | None, text: str = "text", losses: bool = False) -> DataFrame:
+    """df with _lang_pred, _score and _ambiguous, and with losses (needs a model) _loss and _grams; its columns are carried along."""
     clean = df.withColumn("_letter", F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
     if model is None:
         return clean.drop("_letter").withColumns({"_lang_pred": F.lit("und"), "_score": F.lit(0.0), "_ambiguous": F.lit(True)})
@@ -174,12 +183,15 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text") -> DataFra
             known = batch.column(n_columns).to_numpy(zero_copy_only=False)
             langs = np.where(known, np.array(model.langs, object)[best], "und")
             out = [pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(~known | (lead < AMBIGUOUS))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_columns)), *out], [f"c{i}" for i in range(n_columns)] + ["lang_pred", "score", "ambiguous"])
+            if losses:
+                out += [pa.array(model.losses(sums, counts).min(axis=1)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_columns)), *out], [f"c{i}" for i in range(n_columns)] + names)
 
     n_columns = len(df.columns)
+    names = ["lang_pred", "score", "ambiguous"] + ["loss", "grams"] * losses
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
     named = clean.toDF(*(f"c{i}" for i in range(n_columns)), "letter")
-    return named.mapInArrow(judge, f"{fields}, lang_pred string, score double, ambiguous boolean").toDF(*df.columns, "_lang_pred", "_score", "_ambiguous")
+    return named.mapInArrow(judge, f"{fields}, lang_pred string, score double, ambiguous boolean" + ", loss double, grams long" * losses).toDF(*df.columns, *(f"_{n}" for n in names))
 
 
 def held_out(key: str) -> Column:
@@ -191,6 +203,32 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return predicted(df, fitted(df.where(~F.coalesce(held_out(key), F.lit(False))), text, lang), text)
 
 
+def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows with a letter whose loss against the nearest codeword isn't far beyond that language's training texts of its length.
+
+    Where no model can be fitted, all rows with a letter.
+    """
+    training = df.where(~F.coalesce(held_out(key), F.lit(False)))
+    model = fitted(training, text, lang)
+    if model is None:
+        return df.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+    length = F.floor(F.log2(F.col("_grams") + F.lit(1.0))).cast("int")
+    own = predicted(training.where(F.col(lang).isNotNull()).select(text, F.col(lang).alias("_given")), model, text, losses=True).where("_lang_pred = _given")
+    levels = own.groupBy(F.col("_lang_pred").alias("_of"), length.alias("_length")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_loss", [0.5, 0.9]).alias("q"))
+    limit = F.greatest(F.col("q")[0] + FAR * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST_LOSS))
+    known = {(r["_of"], r["_length"]): r["_limit"] for r in levels.where(F.col("n") >= LEAST_TEXTS).select("_of", "_length", limit.alias("_limit")).collect()}  # at most languages x length classes
+    rows = []
+    for name in model.langs:
+        last = None
+        for k in range(64):
+            last = known.get((name, k), last)
+            rows.append((name, k, last))
+    limits = df.sparkSession.createDataFrame(rows, "_of string, _length int, _limit double")
+    judged = predicted(df, model, text, losses=True).where("_lang_pred <> 'und'")
+    found = judged.join(F.broadcast(limits), (F.col("_lang_pred") == F.col("_of")) & (length == F.col("_length")), "left")
+    return found.where(F.col("_limit").isNull() | (F.col("_loss") <= F.col("_limit"))).select(*df.columns)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fitted(docs.where(~held_out("doc_id")))

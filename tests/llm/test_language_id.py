@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridpoint.llm.language_id import codewords, fitted, held_out, identified, predicted
+from gridpoint.llm.language_id import codewords, fitted, held_out, identified, intelligible, predicted
 
 PARTS = {"aa": ["tho", "ing", "ea"], "bb": ["eux", "ré", "ou"], "cc": ["ción", "os", "rr"], "dd": ["sch", "ein", "ung"]}
 
@@ -41,3 +41,15 @@ def test_no_or_one_language(spark):
     one = spark.createDataFrame([(1, "abc def", "x"), (2, "ghi", "x")], "doc_id long, text string, lang string")
     assert {r._lang_pred for r in predicted(one, fitted(one)).collect()} == {"x"}
     assert predicted(one.limit(0), fitted(one)).count() == 0
+
+
+def test_unintelligible_texts_go_and_short_ones_stay(spark):
+    langs = list(PARTS)
+    rows = [(i, text(langs[i % 4], i), langs[i % 4]) for i in range(400)] + [(i, text(langs[i % 4], i, 1), langs[i % 4]) for i in range(400, 800)]
+    rng = random.Random(3)
+    noise = [(1000 + i, "".join(rng.choices("BCDFGHJKLMNPQVWXZ0123456789+/", k=800)), langs[i % 4]) for i in range(30) if zlib.crc32(str(1000 + i).encode()) % 3 == 1]
+    assert len(noise) >= 5  # none of them trained on
+    df = spark.createDataFrame(rows + noise + [(2000, "12 34", "aa"), (2001, None, "aa")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in intelligible(df).collect()} == set(range(800))
+    none = spark.createDataFrame([(1, "abc def", None), (2, "123", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in intelligible(none).collect()] == [1]
