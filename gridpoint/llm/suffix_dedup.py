@@ -9,7 +9,8 @@ and the anchor's hash is its key. Equal strings have equal anchors at equal plac
    that a short common passage between ever other neighbours doesn't gather in one shard.
 2. A segment that occurs twice as a whole is removed wherever it occurs; that needs its hash, not its bytes.
 3. Differing segments of a key meet in a shard, each once. The shard's suffix array is made by induced sorting, and the
-   permuted common prefixes tell which strings also start in another segment.
+   permuted common prefixes tell which strings also start in another segment. Parts whose keys are still frequent go to
+   no shard: the hashes of their few strings are counted.
 4. Ranges come back to their documents, which are judged on the input as it was.
 
 Null and empty texts have nothing to remove. Rows that repeat count as occurrences of each other. Long texts are read in
@@ -149,9 +150,9 @@ class Dedup:
                     if parts:
                         plain = s.key[~cut]
                         s.cut(cut)
-                        longer = np.arange(len(s.key)) >= len(plain)
-                    keep = repeated.holds(s.key) | (longer if parts else False)
-                    differs = keep & (differing.holds(s.key) | (longer if parts else False))
+                    longer = np.arange(len(s.key)) >= (len(plain) if parts else len(s.key))
+                    keep = repeated.holds(s.key) | longer
+                    differs = keep & (differing.holds(s.key) | longer)
                     at = np.flatnonzero(keep)
                     data = []
                     for i, d in zip(at.tolist(), differs[at].tolist()):
@@ -162,9 +163,9 @@ class Dedup:
                     if len(told) > 400_000:
                         told.clear()
                     rows = first + s.row[at]
-                    yield pa.RecordBatch.from_arrays([signed(s.key[at]), signed(s.hash[at]), ids.take(pa.array(rows)), pa.array(signs[rows]), pa.array(s.start[at]), pa.array(s.end[at] - s.first[at]), pa.array(data, pa.binary())], ["key", "hash", "id", "sign", "start", "length", "data"])
+                    yield pa.RecordBatch.from_arrays([signed(s.key[at]), signed(s.hash[at]), ids.take(pa.array(rows)), pa.array(signs[rows]), pa.array(s.start[at]), pa.array(s.end[at] - s.first[at]), pa.array(data, pa.binary()), pa.array(longer[at])], ["key", "hash", "id", "sign", "start", "length", "data", "part"])
 
-        return written(self.docs.select("id", "text", "sign").mapInArrow(emit, f"key long, hash long, id {self.kind}, sign long, start long, length long, data binary"), "segments")
+        return written(self.docs.select("id", "text", "sign").mapInArrow(emit, f"key long, hash long, id {self.kind}, sign long, start long, length long, data binary, part boolean"), "segments")
 
     def whole(self, found: DataFrame) -> DataFrame:
         """Ranges of segments that occur twice as they are."""
@@ -173,7 +174,49 @@ class Dedup:
 
     def partial(self, found: DataFrame) -> DataFrame:
         """Ranges of strings that differing segments share."""
+        some, hot = self.dealt(found)
+        return self.counted(hot).union(self.sorted(some))
+
+    def dealt(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Segments with bytes for the shards, and parts whose keys are still frequent. A key's segments go the same way."""
         some = found.where(F.col("data").isNotNull())
+        still = some.where("part").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).select("key")
+        shared = self.share(bloom(written(still, "frequent-parts"), "key"))
+
+        def only(hot: bool):
+            def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    held = shared.value.holds(batch.column(0).to_numpy()) & batch.column(7).to_numpy(zero_copy_only=False)
+                    yield batch.filter(pa.array(held == hot))
+
+            return some.mapInArrow(chosen, some.schema)
+
+        return only(False), only(True)
+
+    def counted(self, hot: DataFrame) -> DataFrame:
+        """Ranges of strings of LEAST bytes that occur twice, by their hashes. No string starts twice in one segment, as its anchor would differ."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = bytes_of(batch.column(6))
+                n = np.maximum(np.diff(offsets) - LEAST + 1, 0)
+                own = np.repeat(np.arange(len(n)), n)
+                within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                at, take = offsets[own] + within, pa.array(own)
+                strings = span_hashes(prefix_hashes(data), at, at + LEAST)
+                start = batch.column(4).to_numpy()[own] + within
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), signed(strings), batch.column(2).take(take), batch.column(3).take(take), pa.array(start)], ["key", "string", "id", "sign", "start"])
+
+        strings = hot.mapInArrow(emit, f"key long, string long, id {self.kind}, sign long, start long")
+        twice = written(strings.groupBy("key", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-strings")
+        same = ["key", "string"]
+        often = F.broadcast(twice.where(F.col("n") >= FREQUENT).select(same))  # one of so many strings at most
+        rest = strings.join(often, same, "left_anti").join(twice.where(F.col("n") < FREQUENT).select(same), same, "left_semi")
+        both = strings.join(often, same, "left_semi").select(strings.columns).union(rest.select(strings.columns))
+        return both.select("id", "sign", "start", (F.col("start") + LEAST).alias("end"))
+
+    def sorted(self, some: DataFrame) -> DataFrame:
+        """Ranges of strings that segments of a shard share, by induced sorting."""
         bytes_ = some.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
         shards = max(1, int(bytes_) // SHARD)
 

@@ -74,3 +74,18 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = sorted(((r.doc_id or 0, r.n_removed, r.n_spans) for r in D.remove_repeats(df).collect()))
     assert got == [(0, 500, 1), (1, 500, 1), (1, 500, 1), (2, 0, 0)]
     assert D.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_still_frequent_parts_leave_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(D, "FREQUENT", 40)
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = some(260)
+    texts = [some(150) + passage + some(150) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    steps = D.Dedup(df, "doc_id", "text")
+    shards, hot = steps.dealt(steps.occurrences(steps.keys()))
+    most = shards.where("part").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert hot.count() > 0 and (most or 0) < 40
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
