@@ -9,7 +9,8 @@ Texts are scanned twice and never shuffled: once for the cells' sums, once for t
 on the driver and broadcast; beyond it they are raked and joined as DataFrames, with the same result.
 
 A null source, language or text is the empty one. Documents without words weigh nothing in the cells and are drawn with
-their cell's probability, 0 where no cell of theirs holds a token. Repeated rows share a key and so a draw.
+their cell's probability, 0 where no cell of theirs holds a token. Repeated rows share a key and so a draw. A row with a
+null key is not selected, as the SQL has it, unless mixed() is told to draw it by its text.
 """
 
 from __future__ import annotations
@@ -90,10 +91,11 @@ def probabilities(df: DataFrame, fraction: float, powers: dict[str, float] = POW
         spent = lambda s: raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0]
         while fraction < 1 and spent(high) < fraction * total:
             high *= 4
-        for _ in range(60):
+        for _ in range(60 if fraction < 1 else 0):
             middle = (low + high) / 2
             low, high = (middle, high) if spent(middle) < fraction * total else (low, middle)
-        cells = raked.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * high)).select(*names, F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+        chance = F.lit(1.0) if fraction >= 1 else F.least(F.lit(1.0), F.col("weight") * high)
+        cells = raked.withColumn("probability", chance).select(*names, F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
         return rows, cells
     found = sums.toPandas().sort_values(names)
     if len(found):
@@ -107,18 +109,19 @@ def probabilities(df: DataFrame, fraction: float, powers: dict[str, float] = POW
     return rows, F.broadcast(spark.createDataFrame(found[[*names, "weight", "probability"]].values.tolist(), schema))
 
 
-def uniform(key: str) -> Column:
-    """A number from 0 up to 1 that depends on the key alone."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
+def uniform(key: str, instead: Column | None = None) -> Column:
+    """A number from 0 up to 1 that depends on the key alone; for null keys on instead, if given."""
+    drawn = F.col(key).cast("string") if instead is None else F.coalesce(F.col(key).cast("string"), instead)
+    return F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mixed(df: DataFrame, fraction: float = 0.5, key: str = "doc_id", powers: dict[str, float] = POWERS, text: str = "text", most_cells: int = MOST_CELLS) -> DataFrame:
-    """df with n_tokens, topic, weight, probability and selected."""
+def mixed(df: DataFrame, fraction: float = 0.5, key: str = "doc_id", powers: dict[str, float] = POWERS, text: str = "text", most_cells: int = MOST_CELLS, null_keys: bool = False) -> DataFrame:
+    """df with n_tokens, topic, weight, probability and selected. With null_keys, rows with a null key are drawn by their text."""
     rows, cells = probabilities(df, fraction, powers, text=text, most_cells=most_cells)
     out = rows.join(cells, [f"_{d}" for d in powers], "left")
     chance = F.coalesce("_probability", F.lit(0.0))
     columns = [F.col(c) for c in df.columns]
-    return out.select(*columns, F.col("_topic"), F.col("_n"), F.coalesce("_weight", F.lit(0.0)).alias("_weight"), chance.alias("_probability"), F.coalesce(uniform(key) < chance, F.lit(False)).alias("_selected"))
+    return out.select(*columns, F.col("_topic"), F.col("_n"), F.coalesce("_weight", F.lit(0.0)).alias("_weight"), chance.alias("_probability"), F.coalesce(uniform(key, F.coalesce(text, F.lit("")) if null_keys else None) < chance, F.lit(False)).alias("_selected"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_driver_and_frames_agree(spark):
     assert mixed(df.limit(0)).count() == 0
     assert mixed(df.where(F.col("text").isNull())).where("_selected").count() == 0
     assert SWEEPS > 0
+
+
+def test_whole_fraction_and_null_keys(spark):
+    rows = [(i if i % 5 else None, f"word{i} " * (i % 30 + 1), "abc"[i % 3], "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for cells in (0, 1000):
+        every = mixed(df, 1.0, most_cells=cells, null_keys=True).collect()
+        assert len(every) == 300 and all(abs(r._probability - 1) < 1e-9 and r._selected for r in every)
+    half = mixed(df, 0.5, null_keys=True).where("doc_id IS NULL AND _selected").count()
+    assert 10 < half < 50
+    assert mixed(df, 0.5).where("doc_id IS NULL AND _selected").count() == 0

@@ -41,3 +41,11 @@ def test_stages(spark, tmp_path):
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, same.select(key).collect())) == sorted(tuple(r[k] for k in key) for r in after["packing"])
     assert P.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] > 0
+
+
+def test_texts_that_share_a_key_stay(spark):
+    rng = random.Random(4)
+    a, b, c = (text(rng, ["tho", "ing", "ea", "er", "ou"], 50) for _ in range(3))
+    df = spark.createDataFrame([(5, a), (5, b), (5, a), (9, b), (None, c), (None, c)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in P.one_of_each(spark, df, "").collect())
+    assert got == sorted([(5, a), (5, b), (0, c)])
