@@ -21,13 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests, one machine) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gridpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """A folder of the application that all executors see, under spark.checkpoint.dir; removed when the application ends.
+
+    Where that is unset, one machine that runs everything (master "local") takes a new temporary folder; a cluster has to
+    name a shared one.
+    """
+    context = spark.sparkContext
+    if (app := context.applicationId) not in _FOLDERS:
+        above = spark.conf.get("spark.checkpoint.dir", None)
+        if not above:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            above = f"file://{tempfile.mkdtemp(prefix='gridpoint-')}"
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{above.rstrip('/')}/gridpoint-{app}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = path.toString()
+    return _FOLDERS[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +52,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: At most so many keys are told apart as frequent ones; see with_facts().
+MOST_FREQUENT = 100_000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int, least: int = 1000) -> DataFrame:
+    """rows (a written table of total rows) joined to facts, which hold each key of on once and in n how many rows have it.
+
+    Keys of more than total / MOST_FREQUENT rows (and of more than least) are at most MOST_FREQUENT, so their facts are
+    broadcast and their rows stay where they are; any other key has too few rows to be a load for one task.
+    """
+    limit = max(least, total // MOST_FREQUENT)
+    often, rare = F.broadcast(facts.where(F.col(n) > limit)), facts.where(F.col(n) <= limit)
+    names = [*rows.columns, *(c for c in facts.columns if c not in on)]
+    here = rows.join(often, on).select(names)
+    return here.unionByName(rows.join(F.broadcast(facts.where(F.col(n) > limit).select(on)), on, "left_anti").join(rare, on).select(names))
+
+
 def utf8(text: str = "text") -> Column:
     """A text as UTF-8 bytes; null as no bytes."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
