@@ -2,11 +2,13 @@
 
 Candidates are assignments, access keys, long hex runs (the base) and long tokens of mixed letters and digits. The hash of
 each candidate's value is aggregated over the corpus: in how many distinct repositories (documents) and by how many
-distinct owners (sources) it occurs. A value that many owners hold is a widely copied example; one that few hold, and
-that looks random, is live. Masking also takes a value in many repositories of few owners for an example. Base spans are always reported; mixed tokens are reported (kind "owned") where they are live.
+distinct owners (sources) it occurs. Both decide: a value that looks random is live where few owners hold it in few
+repositories each; one that many owners hold, or that one owner holds in many repositories, is a widely copied example.
+Base spans are always reported; mixed tokens are reported (kind "owned") where they are live.
 
-Null texts are empty: no span. A null owner counts as one owner. Repeated rows are reported one by one, and count once
-each as repositories only by distinct key. Positions are code points, end exclusive. Other columns aren't read.
+Null texts are empty: no span. A null owner counts as one owner, apart from an empty one. Repeated rows are reported one
+by one, and count once each as repositories only by distinct key. Very long texts are scanned whole. An empty table gives
+no row. Positions are code points, end exclusive. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import table, written
+from gridpoint.llm.common import table, with_facts, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "owned")
@@ -30,10 +32,15 @@ MOST_OWNERS = 2
 LEAST_DISTINCT = 8
 #: In more repositories than this for each of its owners, a value is a copied example, however few they are.
 MOST_REPOSITORIES = 20
+#: Matches whose places are summed at a time.
+BLOCK = 256
 
 
 def spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches whose group has at least so many characters. What lies between matches gives their places."""
+    """Leftmost non-overlapping matches whose group has at least so many characters. What lies between matches gives their places.
+
+    Places are summed within blocks and then over blocks, so that a text of very many matches is no square of them.
+    """
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     pieces = F.arrays_zip(between.alias("gap"), matches.alias("match"), values.alias("value"))
@@ -46,7 +53,14 @@ def spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) ->
         keep = F.length(piece["value"]) >= least
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(pieces, start, add, lambda s: s["out"])
+    def placed(blocks: Column) -> Column:
+        zero = F.array(F.lit(0))
+        before = F.aggregate(blocks, zero, lambda sums, b: F.concat(sums, F.array(F.element_at(sums, -1) + b["at"])))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("before")), lambda z: F.transform(F.coalesce(z["b"]["out"], F.array().cast(f"array<{SPAN}>")), lambda s: F.struct(
+            s["kind"].alias("kind"), (s["start"] + z["before"]).alias("start"), (s["end"] + z["before"]).alias("end"), s["value"].alias("value")))))
+
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return once(pieces, lambda p: once(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(BLOCK)), lambda k: F.aggregate(F.slice(p, k, BLOCK), start, add)), placed))
 
 
 def random_looking(value: Column) -> Column:
@@ -56,7 +70,7 @@ def random_looking(value: Column) -> Column:
 
 
 def candidates(df: DataFrame, key: str, text: str, owner: str) -> DataFrame:
-    """row, key, owner, base spans and other candidates of every row; a span search runs only where a cheaper test lets it."""
+    """row, key, owner, sign, base spans and other candidates of every row; a span search runs only where a cheaper test lets it."""
     none = F.array().cast(f"array<{SPAN}>")
     rows = df.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lowered = F.lower("text")
@@ -66,6 +80,7 @@ def candidates(df: DataFrame, key: str, text: str, owner: str) -> DataFrame:
     found = rows.select(
         "key",
         "owner",
+        F.xxhash64("text").alias("sign"),
         F.when(named, spans(F.col("text"), ASSIGN, 0, 12, 2)).otherwise(none).alias("assign"),
         F.when(F.col("text").contains("AKIA"), spans(F.col("text"), ACCESS, 1, 18)).otherwise(none).alias("access"),
         F.when(F.col("text").rlike("[0-9a-f]{16}"), spans(F.col("text"), HEX.replace("+", "{16,}"), 2, 16)).otherwise(none).alias("hex"),
@@ -73,30 +88,27 @@ def candidates(df: DataFrame, key: str, text: str, owner: str) -> DataFrame:
     )
     mixed = F.filter("mixed", lambda s: random_looking(s["value"]))
     base = F.concat("assign", "access", "hex")
-    return found.select(F.monotonically_increasing_id().alias("row"), "key", "owner", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), mixed.alias("mixed"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "sign", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), mixed.alias("mixed"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repositories, n_owners of every candidate value. Each step combines before it shuffles, so a value in a third of all rows is no load."""
-    own = found.groupBy("hash", "owner", "key").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return own.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-
+    """hash, n_repositories, n_owners and n (occurrences) of every candidate value. Each step combines before it shuffles, so a value in a third of all rows is no load."""
+    own = found.groupBy("hash", "owner", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"))
+    return own.groupBy("hash").agg(F.sum("keys").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n"))
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_repositories: int | None = None) -> DataFrame:
-    """Per row: key, base counts, base (array of spans), live and copied (arrays of spans with value).
 
-    With most_repositories, a value in more repositories than that for each owner isn't live. Without, owners alone decide, as in OP10_SQL.
-    """
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """Per row: key, sign (its text's hash), base counts, base (array of spans), live and copied (arrays of spans with value)."""
     rows = written(candidates(df, key, text, owner), "candidates")
-    each = rows.where((F.size("base") > 0) | (F.size("mixed") > 0)).select("row", "key", "owner", F.explode(F.concat("base", "mixed")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
-    few = F.col("n_owners") <= MOST_OWNERS
-    if most_repositories is not None:
-        few = few & (F.col("n_repositories") <= F.col("n_owners") * most_repositories)
-    judged = each.join(ownership(each), "hash").withColumn("live", few & random_looking(F.col("span.value")))
+    each = rows.where((F.size("base") > 0) | (F.size("mixed") > 0)).select("row", "key", "owner", F.explode(F.concat("base", "mixed")).alias("span"))
+    each = written(each.withColumn("hash", F.sha2("span.value", 256)), "candidate-values")
+    few = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= F.col("n_owners") * most_repositories)
+    facts = ownership(each).select("hash", "n", few.alias("few"))
+    judged = with_facts(each, facts, ["hash"], "n", each.count()).withColumn("live", F.col("few") & random_looking(F.col("span.value")))
     verdicts = judged.groupBy("row").agg(F.collect_list(F.when(F.col("live"), F.col("span"))).alias("live"), F.collect_list(F.when(~F.col("live"), F.col("span"))).alias("copied"))
     empty = F.array().cast(f"array<{SPAN}>")
     out = rows.join(verdicts, "row", "left")
-    return out.select("key", "n_assign", "n_access", "n_hex", "base", F.coalesce("live", empty).alias("live"), F.coalesce("copied", empty).alias("copied")).withColumnRenamed("key", key)
+    return out.select("key", "sign", "n_assign", "n_access", "n_hex", "base", F.coalesce("live", empty).alias("live"), F.coalesce("copied", empty).alias("copied")).withColumnRenamed("key", key)
 
 
 def joined(found: Column) -> Column:
@@ -115,13 +127,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", with_: str = "[secret]") -> DataFrame:
-    """df with every live value replaced in its texts; widely copied examples stay. Rows that share a key share their values."""
-    found = scan(df, key, text, owner, MOST_REPOSITORIES).where(F.size("live") > 0).select(F.col(key).alias("_masked"), F.transform("live", lambda s: s["value"]).alias("v"))
-    values = F.array_sort(F.array_distinct(F.flatten(F.collect_list("v"))), lambda a, b: F.length(b) - F.length(a))
-    live = found.groupBy("_masked").agg(values.alias("_values"))
-    cleaned = F.aggregate("_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(with_)))
-    out = df.join(live, df[key].eqNullSafe(live["_masked"]), "left")
-    return out.select(*(F.when(F.col("_values").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in df.columns))
+    """df with every live value replaced where it was found; widely copied examples, and the same characters elsewhere, stay.
+
+    Rows are told apart by key and text, so rows that share a key keep their own masks.
+    """
+    found = scan(df, key, text, owner).where(F.size("live") > 0)
+    # A value ends where its match ends. Spans of several kinds may overlap; what they cover is masked once.
+    ends = F.array_sort(F.transform("live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))))
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def merge(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] > last["end"], F.concat(done, F.array(s))).otherwise(
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))))
+
+    live = found.select(F.col(key).alias("key"), "sign", F.aggregate(ends, nothing, merge).alias("ranges")).dropDuplicates(["key", "sign"])
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row")).withColumn("text", F.col("row").getField(text))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    both = rows.join(live, F.col("row").getField(key).eqNullSafe(F.col("key")) & (own == F.col("sign")), "left")
+    starts = F.concat(F.array(F.lit(0)), F.transform("ranges", lambda r: r["end"]))
+    stops = F.concat(F.transform("ranges", lambda r: r["start"]), F.array(F.length("text")))
+    pieces = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda z: F.substring(F.col("text"), z["a"] + 1, z["b"] - z["a"]))
+    cleaned = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(pieces, with_))
+    return both.select(*(cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 _WORDS = "[''\"]?\\x20*[:=]\\x20*[''\"]?"
@@ -142,8 +170,8 @@ c AS (
     (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT}) AS random
   FROM s WHERE length(v) >= least
 ),
-f AS (SELECT v, count(DISTINCT coalesce(source, '')) + 0 AS owners FROM c WHERE kind < 3 OR random GROUP BY v),
-j AS (SELECT c.*, random AND owners <= {MOST_OWNERS} AS live FROM c JOIN f ON c.v = f.v WHERE kind < 3 OR random),
+f AS (SELECT v, count(DISTINCT struct_pack(s := source)) AS owners, count(DISTINCT struct_pack(s := source, d := doc_id)) AS repositories FROM c WHERE kind < 3 OR random GROUP BY v),
+j AS (SELECT c.*, random AND owners <= {MOST_OWNERS} AND repositories <= owners * {MOST_REPOSITORIES} AS live FROM c JOIN f ON c.v = f.v WHERE kind < 3 OR random),
 a AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind) FILTER (kind < 3) AS base,

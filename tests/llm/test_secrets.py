@@ -33,9 +33,32 @@ def test_base_and_copies(spark):
     assert scan(df.limit(0)).count() == 0
 
 
-def test_many_documents_of_one_source_are_copies(spark):
+def test_repositories_and_owners_decide_together(spark):
     example, live = "token = 'Zx9Qw8rT7yU6iO5pA4sD3'", "token = 'a1B2c3D4e5F6a7B8c9D0'"
-    rows = [(i, f"page {i} {example}", "one") for i in range(60)] + [(100, f"page {live}", "one"), (101, f"other {live}", "one")]
-    masked = {r.doc_id: r.text for r in mask(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(masked[i] == t for i, t, _ in rows[:60])
-    assert "a1B2" not in masked[100] + masked[101]
+    rows = [(i, f"page {i} {example}", "one") for i in range(500)] + [(900, f"page {live}", "one"), (901, f"other {live}", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in scan(df).collect()}
+    assert all(not found[i].live and len(found[i].copied) == 2 for i in range(500))
+    assert {len(found[i].live) for i in (900, 901)} == {2}
+    masked = {r.doc_id: r.text for r in mask(df).collect()}
+    assert all(masked[i] == t for i, t, _ in rows[:500])
+    assert "a1B2" not in masked[900] + masked[901]
+
+
+def test_masks_lie_where_values_were_found(spark):
+    value = "a1B2c3D4e5F6a7B8c9D0"
+    rows = [(1, f"token: {value} end", "a"), (1, f"no secret {value[:12]}", "a"), (None, f"x token={value}!", "b"), (2, f"token: {value} end", "a"), (2, f"token: {value} end", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumnRenamed("row", "source").selectExpr("*", "1 AS ranges", "2 AS key")
+    got = sorted((r.doc_id or 0, r.text, r.ranges, r.key) for r in mask(df).collect())
+    assert got == [(0, "x [secret]!", 1, 2), (1, f"no secret {value[:12]}", 1, 2), (1, "token: [secret] end", 1, 2), (2, "token: [secret] end", 1, 2), (2, "token: [secret] end", 1, 2)]
+
+
+def test_very_many_matches_and_a_value_in_most_rows(spark, monkeypatch):
+    from gridpoint.llm import common
+
+    monkeypatch.setattr(common, "MOST_FREQUENT", 5)
+    long = "é token=api_key: abcdefghijklmnop 0123456789abcdef0123 " * 20_000
+    rows = [(0, long, "s")] + [(i, "secret: COPIEDexample0123456789", f"s{i % 7}") for i in range(1, 3000)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("*", joined(F.col("base")).alias("said")).collect()}
+    assert got[0].said == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in expected(long)) and len(got) == 3000
+    assert all(got[i].copied and not got[i].live for i in range(1, 3000))
