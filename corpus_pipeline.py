@@ -36,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by raked probabilities."""
-    return mixing.mixed(docs, KEPT, null_keys=True).where("_selected").select(*docs.columns)
+    return mixing.sampled(docs, KEPT, null_keys=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
