@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,21 +53,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: At most so many keys are told apart as frequent ones; see with_facts().
+#: At most so many keys are told apart as frequent ones.
 MOST_FREQUENT = 100_000
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int, least: int = 1000) -> DataFrame:
-    """rows (a written table of total rows) joined to facts, which hold each key of on once and in n how many rows have it.
+def frequent_from(total: int, least: int = 500) -> int:
+    """Keys of more than so many of total rows are at most MOST_FREQUENT; others have too few rows to be a load for one task."""
+    return max(least, total // MOST_FREQUENT)
 
-    Keys of more than total / MOST_FREQUENT rows (and of more than least) are at most MOST_FREQUENT, so their facts are
-    broadcast and their rows stay where they are; any other key has too few rows to be a load for one task.
+
+def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows (total at most) joined to facts, a written table that has each key once and in n how many rows hold it.
+
+    Facts of frequent keys are broadcast, so that their rows stay where they are; the others are joined by key.
     """
-    limit = max(least, total // MOST_FREQUENT)
-    often, rare = F.broadcast(facts.where(F.col(n) > limit)), facts.where(F.col(n) <= limit)
+    often = facts.where(F.col(n) > frequent_from(total))
+    if often.isEmpty():
+        return rows.join(facts, on)
     names = [*rows.columns, *(c for c in facts.columns if c not in on)]
-    here = rows.join(often, on).select(names)
-    return here.unionByName(rows.join(F.broadcast(facts.where(F.col(n) > limit).select(on)), on, "left_anti").join(rare, on).select(names))
+    here, rest = rows.join(F.broadcast(often), on), rows.join(F.broadcast(often.select(on)), on, "left_anti")
+    return here.select(names).unionByName(rest.join(facts.where(F.col(n) <= frequent_from(total)), on).select(names))
+
+
+def salted(rows: DataFrame, wide: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """rows (a written table of total rows) joined by key to wide, whose rows are too large to broadcast. A frequent key's
+    rows are dealt by spread to several tasks, each with a copy of its wide row."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent_from(total))
+    parts = written(counts.select(key, F.ceil(F.col("n") / frequent_from(total)).cast("int").alias("parts")), "frequent-keys")
+    if parts.isEmpty():
+        return rows.join(wide, key)
+    often, most = F.broadcast(parts), F.coalesce("parts", F.lit(1))
+    dealt = rows.join(often, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), most).cast("int")).drop("parts")
+    copied = wide.join(often, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), most - 1))).drop("parts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
 def utf8(text: str = "text") -> Column:
@@ -195,6 +214,34 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Primes, each with its base, of the hashes of words: modulo a prime no texts are known to collide whatever the base, as
+#: they are modulo a power of two. Bytes count as 1 to 256, so sums over PIECE bytes stay below 2**63.
+PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_220_703_125))
+PIECE = 1 << 22
+_PRIME_POWERS: dict[int, np.ndarray] = {}
+
+
+def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo prime, by doubling."""
+    have = _PRIME_POWERS.get(base, np.ones(1, U64))
+    while len(have) < n:
+        have = np.concatenate([have, have * U64(pow(base, len(have), prime)) % U64(prime)])
+    _PRIME_POWERS[base] = have
+    return have[:n]
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for at most PIECE bytes of data: two sums of powers, modulo primes of 31 bits."""
+    out, wide = (ends - starts).astype(U64) * U64(BASE), data.astype(U64) + U64(1)
+    for shift, (prime, base) in enumerate(PRIMES):
+        p = U64(prime)
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(wide * prime_powers(prime, base, len(data)), out=sums[1:])
+        back = prime_powers(prime, pow(base, -1, prime), int(starts[-1]) + 1 if len(starts) else 1)[starts]
+        out ^= mix((sums[ends] - sums[starts]) % p * back % p + (U64(shift) << U64(40)))
+    return mix(out)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every row's bytes (lower-cased), and where each row's words begin (one more at the end)."""
     low = LOWER[data]
@@ -204,7 +251,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return span_hashes(prefix_hashes(low), starts, ends), np.searchsorted(starts, offsets)
+    if len(data) > PIECE:  # with a word longer than long_word_hashes() takes at once
+        hashes = np.zeros(len(starts), U64)
+        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+            if e - s > PIECE:
+                hashes[i] = int.from_bytes(hashlib.blake2b(low[s:e].tobytes(), digest_size=8).digest(), "little")
+            else:
+                hashes[i] = span_digests(low[s:e], np.zeros(1, np.int64), np.array([e - s]))[0]
+    else:
+        hashes = span_digests(low, starts, ends)
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def long_word_hashes(data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
@@ -243,9 +299,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
             if e - s >= size:
                 yield first + i, np.unique(whole[s : e - size + 1])
             elif e > s:
-                few = U64(int(e - s))
-                for word in words[s:e]:
-                    few = few * step + word
-                yield first + i, mix(np.array([few]))
+                few = np.full(1, e - s, U64)
+                for k in range(s, e):
+                    few = few * step + words[k : k + 1]
+                yield first + i, mix(few)
             else:
                 yield first + i, np.zeros(0, U64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import written
+from gridpoint.llm.common import with_facts, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A large star ties each node's larger neighbours to its least one, a small star its smaller ones; both keep the
     components, and they end in stars about the least node. Every neighbourhood is reduced by min() before it is
-    shuffled, so nodes of any degree are no load. A step's edges are written, and the steps end when none changes.
+    shuffled, and the least neighbours of nodes of very many are broadcast, so nodes of any degree are no load. A step's
+    edges are written, and the steps end when none changes.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -22,8 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         around = found.select(F.col("a").alias("x"), F.col("b").alias("y"))
         if large:
             around = around.union(found.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = around.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        tied = around.join(least, "x")
+        least = around.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("x", "m"))
+        least = written(least, "least")
+        tied = with_facts(around, least, ["x"], "n", 4 * count)
         if large:
             return tied.where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
         out = tied.where("y <> m").select(F.col("y").alias("a"), F.col("m").alias("b")).union(least.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")))
@@ -32,6 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     facts = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = None
     while (now := tuple(facts(edges))) != last:
-        last = now
-        edges = written(star(star(edges, True), False), "edges")
+        last, count = now, now[0]
+        edges = written(star(written(star(edges, True), "edges"), False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

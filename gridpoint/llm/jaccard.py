@@ -1,37 +1,46 @@
 """N-gram Jaccard join by size-aware heavy-light search; links make components.
 
-Sets are hashes of word shingles. Equal sets are one node. Two sets with a similarity of t or more share a key:
+Sets are hashes of word shingles; words are hashed modulo two primes. Equal sets are one node, named by half of a
+128-bit digest; where both halves don't agree for all sets of a name, those sets are named by the other half. Two sets
+with a similarity of t or more share a key:
 - light sets (fewer shingles than a boundary) enumerate the subsets of two in their prefix, the first n - ceil(t n) + 2
   shingles in one order for all documents;
 - heavy sets, and light ones that a heavy one may match, scan inverted lists of their prefix of n - ceil(t n) + 1.
-The order puts shingles that many documents hold last, by counts over the whole corpus, so lists stay short; any fixed
+The order puts frequent shingles last, by bands of their counts over the whole corpus, so lists stay short; any fixed
 order gives the same results. The boundary is where enumerating costs less than scanning, by sizes and list lengths.
 
 Within a list nobody is paired with everybody. First each member meets the list's pivot, the member with the fewest rarer
-shingles, and of all such pairs a set verifies the likeliest. Components follow; then only pairs of a list that are still
-in different components are verified: all whose sizes and places in the order allow a link, so no link between components
-is lost and groups of copies cost no pairs. Sets are compared whole.
+shingles, and of all such pairs a set verifies the likeliest. Components follow. In long lists the components' plainest
+members meet next, again and again, until none of them merges. Then only pairs of a list that are still in different
+components are verified: all whose sizes and places in the order allow a link, so no link between components is lost and
+groups of copies cost no pairs. Long lists are divided by size bands and blocks, so that no task holds one whole. Sets
+are compared whole; a set with very many partners is copied to several tasks.
 
 Null and empty texts, and texts without a word, have an empty set, are linked with nothing and are their own component.
-Texts with fewer words than a shingle are one shingle. Repeated rows fall together as equal sets. An empty table gives no
-row. Only the key and text columns are read.
+Texts with fewer words than a shingle are one shingle. Very long texts are read a piece at a time, whole. Repeated rows
+fall together as equal sets. An empty table gives no row. Only the key and text columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, shingle_sets, table, utf8, written
+from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, salted, shingle_sets, table, utf8, with_facts, written
 from gridpoint.llm.components import connected_components
 
-#: Shingles in so many documents are put last.
+#: Shingles in so many documents are put behind the others, and again at every STEP times as many.
 FREQUENT = 16
+STEP = 8
 MOST_LIGHT = 48
+#: Longer lists are divided.
+LONG = 4096
 
 
 def overlap_least(n: np.ndarray | int, percent: int) -> np.ndarray:
@@ -39,9 +48,21 @@ def overlap_least(n: np.ndarray | int, percent: int) -> np.ndarray:
     return -(-np.asarray(n) * percent // 100)
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """64 bits for a set; together with its size it stands for the set."""
-    return int(mix(np.array([mix(shingles).sum(dtype=U64) ^ U64(len(shingles))], U64)).view(np.int64)[0])
+def digests(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A set's name and its other half."""
+    name, other = struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+    return name >> (64 - bits), other
+
+
+class Namer:
+    """Names sets. clashing: the names that several sets would have."""
+
+    def __init__(self, clashing: frozenset = frozenset(), bits: int = 64):
+        self.clashing, self.bits = clashing, bits
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        name, other = digests(shingles, self.bits)
+        return other if name in self.clashing else name
 
 
 def each_set(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,12 +74,22 @@ def halves(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> U64(32)).astype(np.int64)
 
 
-def prefix_keys(shingles: np.ndarray, frequent: Bloom, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def levels(shingles: np.ndarray, bands: list[Bloom]) -> np.ndarray:
+    """The band of each shingle's count: in how many of the filters, each of which holds part of the one before."""
+    out, at, own = np.zeros(len(shingles), np.int8), np.arange(len(shingles)), halves(shingles)
+    for band in bands:
+        at = at[band.holds(own[at])]
+        if not len(at):
+            break
+        out[at] += 1
+    return out
+
+
+def prefix_keys(shingles: np.ndarray, bands: list[Bloom], boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A set's keys and their places: subsets of two (place -1) for a light set, shingles for a heavy one or one that a heavy one may match."""
     n = len(shingles)
     least = int(overlap_least(n, percent))
-    late = frequent.holds(halves(shingles))
-    shingles = np.concatenate([shingles[~late], shingles[late]])
+    shingles = shingles[np.argsort(levels(shingles, bands), kind="stable")]
     single = shingles[: n - least + 1]
     places = np.arange(len(single), dtype=np.int32)
     if n >= boundary:
@@ -183,6 +214,42 @@ def cross_pairs(percent: int, near: int = 64):
     return pairs
 
 
+def divided(percent: int, longest: int):
+    """Members of one long list, dealt: sets that may link have sizes of one band or of two that follow each other, and each
+    pair of blocks of a band meets once. Adds band, lo, hi, and whether a member comes from the band below and its block."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    blocks = F.ceil(F.col("m") / longest).cast("int")
+
+    def deal(members: DataFrame) -> DataFrame:
+        own = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        both = own.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("below"))
+        return both.select("list", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "below", "block", "component", "node", "n", "place")
+
+    return deal
+
+
+def block_pairs(percent: int):
+    """Sorted rows of divided() to pairs of different components that may link."""
+
+    def pairs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs_of(found):
+            task = columns[:4]
+            fresh = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in task], axis=0)])
+            edges = np.append(np.flatnonzero(fresh), len(fresh))
+            for s, e in zip(edges[:-1], edges[1:]):
+                below, block, component, node, n, place = (c[s:e] for c in columns[4:])
+                crossing = columns[2][s] != columns[3][s]
+                here = np.flatnonzero(below == 0)
+                for i in here:
+                    # members of this band once (a later one of the same block, or one of the other block), those of the band below always
+                    j = np.flatnonzero((component != component[i]) & fits(n[i], n, place[i], place, percent) & ((block != block[i]) == crossing))
+                    j = j[(below[j] == 1) | (node[j] > node[i])]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+
+    return pairs
+
+
 def gathered(found: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """The same pairs, each once within a stretch, in larger batches."""
     held, n = [], 0
@@ -204,44 +271,59 @@ def gathered(found: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
 class Join:
     """The steps of a join over one table, each a DataFrame."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, size: int, percent: int):
-        self.size, self.percent = size, percent
+    def __init__(self, df: DataFrame, key: str, text: str, size: int, percent: int, bits: int = 64):
+        self.size, self.percent, self.namer = size, percent, Namer(bits=bits)
         self.docs = df.select(F.col(key).alias("key"), utf8(text).alias("text"))
         self.kind = df.schema[key].dataType.simpleString()
         self.spark = df.sparkSession
 
     def signatures(self) -> DataFrame:
-        """key, n, node of every row; node is null for empty sets."""
-        size = self.size
+        """key, n, node of every row; node is null for empty sets. Names that different sets would share are settled for all later steps."""
+        size, bits = self.size, self.namer.bits
 
         def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
-                n, node = [0] * batch.num_rows, [None] * batch.num_rows
+                n, node, other = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
                 for i, s in each_set(batch, size):
                     n[i] = len(s)
-                    node[i] = fingerprint(s) if len(s) else None
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["key", "n", "node"])
+                    if len(s):
+                        node[i], other[i] = digests(s, bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, other))], ["key", "n", "node", "other"])
 
-        return written(self.docs.mapInArrow(sign, f"key {self.kind}, n long, node long"), "signatures")
+        out = written(self.docs.mapInArrow(sign, f"key {self.kind}, n long, node long, other long"), "signatures")
+        several = out.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
+        self.namer = Namer(frozenset(r["node"] for r in several.select("node").toLocalIterator()), bits)  # none among fewer than about 2**32 sets
+        if self.namer.clashing:
+            out = out.join(F.broadcast(several.select("node", F.lit(True).alias("clash"))), "node", "left").withColumn("node", F.when(F.col("clash"), F.col("other")).otherwise(F.col("node")))
+        return out.select("key", "n", "node")
 
     def frequent(self, shingles: int, flush: int = 4_000_000, range_size: int = 2_000_000) -> DataFrame:
-        """key: (halves of) shingles in FREQUENT documents or more. A row without a key tells how many others recur, and how often.
+        """key, level: (halves of) shingles in FREQUENT documents or more, and how many STEPs beyond. A row without a key tells how many others recur, and how often.
 
-        Tasks sort their shingles and send them by range, as gaps of two bytes; more than FREQUENT of one are as good as that many.
+        Tasks sort their shingles and send them by range, as gaps of two bytes; of one that a task has more than FREQUENT
+        times it sends the number.
         """
         size, most = self.size, FREQUENT
         ranges = max(1, shingles // range_size)
         width = -(-(1 << 32) // ranges)
 
+        def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            return values[starts], np.diff(np.append(starts, len(values)))
+
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
 
             def out() -> pa.RecordBatch:
-                values = np.sort(np.concatenate(held))
-                values = values[np.concatenate([np.ones(min(most, len(values)), bool), values[most:] != values[:-most]])]
-                edges = np.searchsorted(values, np.arange(ranges + 1) * width)
+                values, times = runs(np.sort(np.concatenate(held)))
+                many = np.flatnonzero(times > most)
+                sent = np.repeat(values, np.minimum(times, most))
+                edges, more = np.searchsorted(sent, np.arange(ranges + 1) * width), np.searchsorted(values[many], np.arange(ranges + 1) * width)
                 some = np.flatnonzero(np.diff(edges))
-                return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed(values[edges[r] : edges[r + 1]] - r * width) for r in some], pa.binary())], ["range", "data"])
+                data = [packed(sent[edges[r] : edges[r + 1]] - r * width) for r in some]
+                which = [(values[many[more[r] : more[r + 1]]] - r * width).astype("<u4").tobytes() for r in some]
+                extra = [(times[many[more[r] : more[r + 1]]] - most).astype("<u4").tobytes() for r in some]
+                return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (data, which, extra))], ["range", "data", "which", "extra"])
 
             for batch in found:
                 for _, s in each_set(batch, size):
@@ -255,30 +337,34 @@ class Join:
 
         def count(rows: pa.Table) -> pa.Table:
             first = rows.column("range")[0].as_py() * width
-            values = np.sort(np.concatenate([unpacked(d.as_py()) for d in rows.column("data")]))
-            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            n = np.diff(np.append(starts, len(values)))
-            keys, rare = values[starts[n >= most]] + first, n[(n > 1) & (n < most)]
-            columns = [pa.array([None, *keys.tolist()], pa.int64()), *(pa.array([x] + [0] * len(keys), pa.int64()) for x in (len(rare), int(rare.sum())))]
-            return pa.Table.from_arrays(columns, ["key", "lists", "members"])
-
-        sent = self.docs.mapInArrow(emit, "range int, data binary")
-        return written(sent.groupBy("range").applyInArrow(count, "key long, lists long, members long"), "frequent")
-
-    def keys(self, frequent: Bloom, boundary: int) -> DataFrame:
-        """key, place, node, n: prefix keys of every set."""
+            values, n = runs(np.sort(np.concatenate([unpacked(d.as_py()) for d in rows.column("data")])))
+            which, extra = (np.frombuffer(b"".join(d.as_py() for d in rows.column(c)), "<u4").astype(np.int64) for c in ("which", "extra"))
+            np.add.at(n, np.searchsorted(values, which), extra)
+            keys, rare = values[n >= most] + first, n[(n > 1) & (n < most)]
+            level = np.floor(np.log(n[n >= most] / most) / np.log(STEP) + 1e-9).astype(np.int64)
+            columns = [pa.array([None, *keys.tolist()], pa.int64()), *(pa.array([x, *own]) for x, own in ((0, level.tolist()), (len(rare), [0] * len(keys)), (int(rare.sum()), [0] * len(keys))))]
+            return pa.Table.from_arrays(columns, ["key", "level", "lists", "members"])
+
+        sent = self.docs.mapInArrow(emit, "range int, data binary, which binary, extra binary")
+        return written(sent.groupBy("range").applyInArrow(count, "key long, level long, lists long, members long"), "frequent")
+
+    def keys(self, bands: list[Bloom], boundary: int) -> DataFrame:
+        """key, place, node, n: prefix keys of every set, of equal ones about once in each task."""
         size, percent = self.size, self.percent
-        shared = self.spark.sparkContext.broadcast(frequent)
+        shared, namer = self.spark.sparkContext.broadcast(bands), self.namer
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filter_ = shared.value
+            bands, told = shared.value, set()
             for batch in found:
+                if len(told) > 400_000:
+                    told.clear()
                 keys, places, node, n = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
                 for _, s in each_set(batch, size):
-                    if len(s) > 1:  # a single shingle links only to its equal
-                        own, at = prefix_keys(s, filter_, boundary, percent)
+                    if len(s) > 1 and (name := namer(s)) not in told:  # a single shingle links only to its equal
+                        told.add(name)
+                        own, at = prefix_keys(s, bands, boundary, percent)
                         keys.append(own), places.append(at)
-                        node.append(fingerprint(s)), n.append(len(s))
+                        node.append(name), n.append(len(s))
                 count = [len(k) for k in keys[1:]]
                 columns = [np.concatenate(keys).view(np.int64), np.concatenate(places), np.repeat(np.array(node, np.int64), count), np.repeat(np.array(n, np.int32), count)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "node", "n"])
@@ -287,13 +373,13 @@ class Join:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given nodes, and by chance of some more."""
-        size = self.size
+        size, namer = self.size, self.namer
         shared = self.spark.sparkContext.broadcast(bloom(nodes, "node"))
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filter_ = shared.value
             for batch in found:
-                sets = [(fingerprint(s), s) for _, s in each_set(batch, size) if len(s)]
+                sets = [(namer(s), s) for _, s in each_set(batch, size) if len(s)]
                 node = np.array([x for x, _ in sets], np.int64)
                 keep = np.flatnonzero(filter_.holds(node)) if len(node) else []
                 own = dict((sets[i][0], sets[i][1].view(np.int64)) for i in keep)
@@ -304,48 +390,80 @@ class Join:
         return self.docs.mapInArrow(emit, "node long, shingles array<long>").dropDuplicates(["node"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+        """Those of the pairs (a, b), a written table, that link."""
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        total, named = pairs.count(), lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
+        one = salted(pairs, named("a"), "a", "b", total)
+        both = one.join(named("b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
+    def may_link(self) -> Column:
+        """Whether a member and its pivot may."""
+        least = F.ceil(shared_least(F.col("n"), F.col("pivot_n"), self.percent) - 1e-6)
+        sizes = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * self.percent
+        return sizes & (F.col("place") <= F.col("n") - least) & (F.col("pivot_place") <= F.col("pivot_n") - least)
+
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id (the least key that links reach) of every row of df."""
-    join = Join(df, key, text, size, percent)
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bits: int = 64, longest: int = LONG) -> DataFrame:
+    """key, n_shingles, component_id (the least key that links reach) of every row of df. bits: of the sets' first names."""
+    join = Join(df, key, text, size, percent, bits)
     signatures = join.signatures()
     frequent = join.frequent(signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    facts = frequent.agg(F.coalesce(F.sum("lists"), F.lit(0)).alias("lists"), F.coalesce(F.sum("members"), F.lit(0)).alias("members")).first()
+    facts = frequent.agg(F.coalesce(F.sum("lists"), F.lit(0)).alias("lists"), F.coalesce(F.sum("members"), F.lit(0)).alias("members"), F.max(F.when(F.col("key").isNotNull(), F.col("level"))).alias("last")).first()
     sizes = {r["n"]: r["count"] for r in signatures.where(F.col("n").between(2, MOST_LIGHT)).groupBy("n").count().collect()}
     boundary = boundary_by_cost(sizes, facts["members"] / max(1, facts["lists"]), percent)
-    late = bloom(frequent.where(F.col("key").isNotNull()), "key")
+    bands = [bloom(frequent.where(F.col("key").isNotNull() & (F.col("level") >= k)), "key") for k in range(0 if facts["last"] is None else facts["last"] + 1)]
 
-    sorted_ = join.keys(late, boundary).repartition("key").sortWithinPartitions("key", "place", "node")
+    sorted_ = join.keys(bands, boundary).repartition("key").sortWithinPartitions("key", "place", "node")
     lists = written(sorted_.mapInArrow(lists_of, LISTS), "lists")
 
-    least = F.ceil(shared_least(F.col("n"), F.col("pivot_n"), percent) - 1e-6)
-    may_link = (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent) & (F.col("place") <= F.col("n") - least) & (F.col("pivot_place") <= F.col("pivot_n") - least)
-    stars = lists.where((F.col("node") != F.col("pivot")) & may_link)
+    stars = lists.where((F.col("node") != F.col("pivot")) & join.may_link())
     likely = stars.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct(F.col("c"), F.col("pivot"))).alias("best"))
-    first = written(likely.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct(), "likely")
-    linked = written(join.verified(first), "linked")
-    components = written(connected_components(linked), "components")
-
-    known = lists.join(components, "node", "left").select("list", F.coalesce("component", "node").alias("component"), "node", "n", "place")
-    split = known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-    members = known.join(split, "list").repartition("list").sortWithinPartitions("list", "component", "node")
-    crossing = cross_pairs(percent)
-    met = members.mapInArrow(lambda found: gathered(crossing(found)), "a long, b long").distinct()
-    more = written(met.join(first, ["a", "b"], "left_anti"), "crossing")
+    tried = written(likely.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct(), "likely")
+    linked = written(join.verified(tried), "linked")
+
+    while True:
+        components = written(connected_components(linked), "components")
+        known = lists.join(components, "node", "left").select("list", F.coalesce("component", "node").alias("component"), "node", "n", "place")
+        split = known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("list", "m")
+        split = written(split, "split-lists")
+        if split.where(F.col("m") > longest).isEmpty():
+            break
+        # The plainest member of each component of a long list meets the plainest of all.
+        some = with_facts(known, split.where(F.col("m") > longest), ["list"], "m", lists.count())
+        plain = some.groupBy("list", "component").agg(F.min(F.struct("place", "n", "node")).alias("own"))
+        first = plain.groupBy("list").agg(F.min("own").alias("pivot"))
+        met = plain.join(first, "list").select("own.*", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.place").alias("pivot_place"))
+        met = met.where((F.col("node") != F.col("pivot")) & join.may_link()).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        fresh = written(met.join(tried, ["a", "b"], "left_anti"), "plainest")
+        more = written(join.verified(fresh), "linked")
+        tried = written(tried.union(fresh), "tried")
+        if more.isEmpty():
+            break
+        linked = written(linked.union(more), "linked")
+
+    members = with_facts(known, split, ["list"], "m", lists.count())
+    short = members.where(F.col("m") <= longest).drop("m").repartition("list").sortWithinPartitions("list", "component", "node")
+    crossing, blocks = cross_pairs(percent), block_pairs(percent)
+    met = short.mapInArrow(lambda found: gathered(crossing(found)), "a long, b long")
+    if not split.where(F.col("m") > longest).isEmpty():
+        tasks = ["list", "band", "lo", "hi"]
+        long = divided(percent, longest)(members.where(F.col("m") > longest)).repartition(*tasks).sortWithinPartitions(*tasks)
+        met = met.union(long.mapInArrow(lambda found: gathered(blocks(found)), "a long, b long"))
+    more = written(met.distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     found = join.verified(more)
     components = written(connected_components(linked.union(found)), "components")
 
-    least = signatures.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"))
+    least = signatures.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows"))
     roots = least.join(components, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("node", "root").join(ids, "root").select("node", "component_id")
-    out = signatures.join(named, "node", "left")
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    roots, ids = written(roots.select("node", "root", "rows"), "roots"), written(ids, "ids")
+    total = signatures.count()
+    named = written(with_facts(roots, ids, ["root"], "nodes", total).select("node", "rows", "component_id"), "named")
+    own = with_facts(signatures.where(F.col("node").isNotNull()), named, ["node"], "rows", total).select("key", "n", "component_id")
+    none = signatures.where(F.col("node").isNull()).select("key", "n", F.col("key").alias("component_id"))
+    out = own.unionByName(none)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 

@@ -59,6 +59,34 @@ def test_brute_force(spark):
         assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_long_lists_are_divided_and_names_may_clash(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    for options in ({"longest": 5}, {"bits": 4}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, **options).collect()}
+        assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_texts_that_collide_modulo_powers_of_two_stay_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y z u v"), (4, f"{other} x y z u v"), (5, "q" * (5 << 20)), (6, "q" * (5 << 20) + " end"), (7, "q" * (5 << 20))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 4), 5: (1, 5), 6: (1, 6), 7: (1, 5)}
+
+
+def test_frequent_keys_are_split(spark, monkeypatch):
+    from gridpoint.llm import common
+
+    monkeypatch.setattr(common, "frequent_from", lambda total, least=500: 3)
+    rows = corpus(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
 def test_small(spark):
     df = spark.createDataFrame([(4, "a b c d e f"), (2, "a b c d e f"), (9, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(df).collect())) == [(2, 2, 2), (4, 2, 2), (9, 0, 9)]
