@@ -214,32 +214,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-#: Primes, each with its base, of the hashes of words: modulo a prime no texts are known to collide whatever the base, as
-#: they are modulo a power of two. Bytes count as 1 to 256, so sums over PIECE bytes stay below 2**63.
-PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_220_703_125))
-PIECE = 1 << 22
-_PRIME_POWERS: dict[int, np.ndarray] = {}
-
-
-def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo prime, by doubling."""
-    have = _PRIME_POWERS.get(base, np.ones(1, U64))
-    while len(have) < n:
-        have = np.concatenate([have, have * U64(pow(base, len(have), prime)) % U64(prime)])
-    _PRIME_POWERS[base] = have
-    return have[:n]
-
-
-def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for at most PIECE bytes of data: two sums of powers, modulo primes of 31 bits."""
-    out, wide = (ends - starts).astype(U64) * U64(BASE), data.astype(U64) + U64(1)
-    for shift, (prime, base) in enumerate(PRIMES):
-        p = U64(prime)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(wide * prime_powers(prime, base, len(data)), out=sums[1:])
-        back = prime_powers(prime, pow(base, -1, prime), int(starts[-1]) + 1 if len(starts) else 1)[starts]
-        out ^= mix((sums[ends] - sums[starts]) % p * back % p + (U64(shift) << U64(40)))
-    return mix(out)
+#: For 0 to 8 bytes, the bits of a little-endian word that they fill.
+FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Words of more bytes are hashed one by one, by a digest.
+LONG_WORD = 64
+
+
+def digests_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of low[start:end]: eight bytes at a time are mixed in, so words of up to eight bytes differ if they do
+    and no sums of powers are involved, which long words can share. Longer ones by a cryptographic digest."""
+    whole = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) + 1, "<u8", whole, strides=(1,))
+    length = ends - starts
+    out, at, done = mix(length.astype(U64)), np.flatnonzero(length <= LONG_WORD), 0
+    while len(at):
+        left = length[at] - done
+        out[at] = mix(out[at] * U64(BASE) + (eight[starts[at] + done] & FILLED[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,16 +245,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    if len(data) > PIECE:  # with a word longer than long_word_hashes() takes at once
-        hashes = np.zeros(len(starts), U64)
-        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-            if e - s > PIECE:
-                hashes[i] = int.from_bytes(hashlib.blake2b(low[s:e].tobytes(), digest_size=8).digest(), "little")
-            else:
-                hashes[i] = span_digests(low[s:e], np.zeros(1, np.int64), np.array([e - s]))[0]
-    else:
-        hashes = span_digests(low, starts, ends)
-    return hashes, np.searchsorted(starts, offsets)
+    return digests_of(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def long_word_hashes(data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
@@ -297,7 +282,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
         for i in range(last - first):
             s, e = edges[i], edges[i + 1]
             if e - s >= size:
-                yield first + i, np.unique(whole[s : e - size + 1])
+                own = np.sort(whole[s : e - size + 1])
+                fresh = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                yield first + i, own[fresh]
             elif e > s:
                 few = np.full(1, e - s, U64)
                 for k in range(s, e):

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by size-aware heavy-light search; links make components.
 
-Sets are hashes of word shingles; words are hashed modulo two primes. Equal sets are one node, named by half of a
+Sets are hashes of word shingles. Equal sets are one node, named by half of a
 128-bit digest; where both halves don't agree for all sets of a name, those sets are named by the other half. Two sets
 with a similarity of t or more share a key:
 - light sets (fewer shingles than a boundary) enumerate the subsets of two in their prefix, the first n - ceil(t n) + 2
@@ -85,11 +85,31 @@ def levels(shingles: np.ndarray, bands: list[Bloom]) -> np.ndarray:
     return out
 
 
-def prefix_keys(shingles: np.ndarray, bands: list[Bloom], boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set's keys and their places: subsets of two (place -1) for a light set, shingles for a heavy one or one that a heavy one may match."""
+def ordered(sets: Iterator[np.ndarray], bands: list[Bloom], most: int = 400_000) -> Iterator[np.ndarray]:
+    """Each set's shingles in the order of all documents; their bands are looked up for many sets at a time."""
+    held, n = [], 0
+
+    def out() -> Iterator[np.ndarray]:
+        level = levels(np.concatenate(held), bands)
+        edges = np.cumsum([0, *map(len, held)])
+        for s, a, b in zip(held, edges[:-1], edges[1:]):
+            own = level[a:b]
+            yield s[np.argsort(own, kind="stable")] if own.any() else s
+
+    for s in sets:
+        held.append(s)
+        n += len(s)
+        if n >= most:
+            yield from out()
+            held, n = [], 0
+    if held:
+        yield from out()
+
+
+def prefix_keys(shingles: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """An ordered set's keys and their places: subsets of two (place -1) for a light set, shingles for a heavy one or one that a heavy one may match."""
     n = len(shingles)
     least = int(overlap_least(n, percent))
-    shingles = shingles[np.argsort(levels(shingles, bands), kind="stable")]
     single = shingles[: n - least + 1]
     places = np.arange(len(single), dtype=np.int32)
     if n >= boundary:
@@ -358,13 +378,15 @@ class Join:
             for batch in found:
                 if len(told) > 400_000:
                     told.clear()
-                keys, places, node, n = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
+                keys, places, node, sets = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
                 for _, s in each_set(batch, size):
                     if len(s) > 1 and (name := namer(s)) not in told:  # a single shingle links only to its equal
                         told.add(name)
-                        own, at = prefix_keys(s, bands, boundary, percent)
-                        keys.append(own), places.append(at)
-                        node.append(name), n.append(len(s))
+                        node.append(name), sets.append(s)
+                n = [len(s) for s in sets]
+                for s in ordered(sets, bands):
+                    own, at = prefix_keys(s, boundary, percent)
+                    keys.append(own), places.append(at)
                 count = [len(k) for k in keys[1:]]
                 columns = [np.concatenate(keys).view(np.int64), np.concatenate(places), np.repeat(np.array(node, np.int64), count), np.repeat(np.array(n, np.int32), count)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "node", "n"])
