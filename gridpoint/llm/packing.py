@@ -5,8 +5,9 @@
    Over it a linear program chooses how often to use each pattern (a multiset of classes that fits a sequence). Columns
    are generated: a knapsack dynamic program prices patterns by the program's duals, until none improves it.
 3. Pattern counts are rounded down, what is left of the histogram is packed first-fit decreasing.
-4. Pieces are ranked within their class, by counts for (class, chunk) and row numbers inside them, so that no class
-   meets in one task. A rank names a pattern, its copy and the slot there.
+4. Pieces are ranked within their class, by counts for (class, chunk) and row numbers inside them. A chunk is a share of
+   the pieces by the number that each got when it was written, so neither a class nor a repeated key meets in one task. A
+   rank names a pattern, its copy and the slot there.
 
 Null and empty texts are one piece, the end mark. Very long texts are cut into more full pieces. Repeated rows are
 packed as often as they occur. An empty table gives no row. Only the key and text columns are read.
@@ -30,6 +31,8 @@ from gridpoint.llm.common import table, written
 
 GRAIN = 8
 CHUNK_ROWS = 20_000
+#: Column generation ends after so many steps a class: what it has then is a solution too, and the rest is packed first-fit.
+STEPS = 50
 CHUNKS_KEPT = 300_000
 #: A space that isn't followed by another character than white space.
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -130,7 +133,7 @@ def fractional_patterns(demand: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     columns = np.diag(room // sizes).astype(np.float64)  # column k: size k alone, as often as it fits
     inverse = np.diag(1.0 / np.diag(columns)) if m else np.zeros((0, 0))
     used = inverse @ demand[sizes - 1]
-    while m:
+    for _ in range(STEPS * m):  # degenerate steps could go round
         duals = inverse.sum(axis=0)  # each pattern costs one sequence
         worth = np.full(room, -1.0)
         worth[sizes - 1] = duals
@@ -166,7 +169,7 @@ def whole_patterns(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]
     patterns, used = fractional_patterns(left.astype(np.float64), room)
     for pattern, x in zip(patterns, used):
         fits = [left[k] // pattern[k] for k in np.flatnonzero(pattern)]
-        times = int(min([np.floor(x + 1e-6), *fits]))
+        times = int(min([max(0.0, np.floor(x + 1e-6)), *fits]))
         if times > 0:
             out.append((pattern, times))
             left -= times * pattern
@@ -199,9 +202,9 @@ def slots(patterns: list[tuple[np.ndarray, int]], room: int) -> list[tuple[np.nd
 def pack(pieces: DataFrame, length: int = 2048, grain: int = GRAIN) -> DataFrame:
     """Adds sequence_id and offset to pieces (key, start, length, ids_crc32, doc_tokens)."""
     room = length // grain
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
     chunks = max(1, pieces.count() // CHUNK_ROWS)
-    classed = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("key", "start"), F.lit(chunks)).cast("int"))
+    classed = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks)).cast("int"))
     counts = written(classed.groupBy("class", "chunk").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     demand = np.zeros(room, np.int64)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row a class, at most length / grain
@@ -210,7 +213,7 @@ def pack(pieces: DataFrame, length: int = 2048, grain: int = GRAIN) -> DataFrame
 
     before = Window.partitionBy("class").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("class", "chunk").orderBy("key", "start", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("class", "chunk").orderBy("key", "start", "ids_crc32", "number")) - 1
     ranked = classed.withColumn("inside", inside).join(starts, ["class", "chunk"]).withColumn("rank", F.col("before") + F.col("inside"))
 
     @F.pandas_udf("sequence_id long, slot long")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridpoint.llm.packing import encoder, pack_documents, whole_patterns
+from gridpoint.llm.packing import encoder, fractional_patterns, pack_documents, whole_patterns
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(PATHS[0])
@@ -39,6 +39,41 @@ def test_patterns_cover_exactly(counts):
     assert sum(t for _, t in found) <= 1.7 * least + 1
 
 
+def optimum(demand, room):
+    """The linear program's optimum over every pattern, by its dual: the least number of sequences, fractions allowed."""
+    from itertools import product
+
+    sizes = [k + 1 for k in range(room) if demand[k]]
+    patterns = [p for p in product(*(range(room // s + 1) for s in sizes)) if any(p) and sum(a * s for a, s in zip(p, sizes)) <= room]
+    # A primal and a dual solution of equal value prove each other; multiplicative weights come close enough to tell.
+    a, need = np.array(patterns, float), np.array([demand[s - 1] for s in sizes], float)
+    weights, best, load, used = np.ones(len(sizes)), 0.0, np.zeros(len(sizes)), 0
+    for _ in range(20_000):
+        worth = a @ (weights / need)
+        k = int(worth.argmax())
+        best = max(best, weights.sum() / worth[k])
+        load += a[k] / need
+        used += 1
+        weights = np.exp(-0.3 * (load - load.min()))
+    return best, used / load.min()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_column_generation_meets_the_optimum(seed):
+    rng = np.random.default_rng(seed)
+    demand = rng.integers(0, 40, 12)
+    _, used = fractional_patterns(demand.astype(float), 12)
+    low, high = optimum(demand, 12)
+    assert low - 1e-6 <= used.sum() <= high + 1e-6 and high <= 1.02 * low
+    assert sum(t for _, t in whole_patterns(demand, 12)) <= used.sum() + (demand > 0).sum()
+
+
+@pytest.mark.parametrize("demand", [[7] * 16, [1 << 40] * 16, [0] * 7 + [5] + [0] * 8, [1] * 15 + [0], [0] * 16])
+def test_degenerate_programs_end(demand):
+    found = whole_patterns(np.array([min(d, 10_000) for d in demand]), 16)
+    assert (sum((p * t for p, t in found), np.zeros(16, int)) == [min(d, 10_000) for d in demand]).all()
+
+
 def test_packing(spark):
     rng = np.random.default_rng(5)
     texts = ["", None, "one", "one", *(" ".join(f"w{x}" for x in rng.integers(0, 999, n)) for n in rng.integers(1, 1500, 150)), "long " * 9000]
