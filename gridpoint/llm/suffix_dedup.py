@@ -13,6 +13,9 @@ and the anchor's hash is its key. Equal strings have equal anchors at equal plac
    no shard: the hashes of their few strings are counted.
 4. Ranges come back to their documents, which are judged on the input as it was.
 
+The filters have at most 2**30 bits each. Fuller ones let more pass: then the bytes of more segments are shuffled, up to
+about all of them once, and the results are the same.
+
 Null and empty texts have nothing to remove. Rows that repeat count as occurrences of each other. Long texts are read in
 slices, whose borders only cut segments. An empty table gives no row. Only the key and text columns are read.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import Bloom, U64, bloom, bytes_of, mix, prefix_hashes, row_slices, span_hashes, table, utf8, written
+from gridpoint.llm.common import Bloom, U64, bloom, bytes_of, mix, prefix_hashes, row_slices, span_hashes, table, utf8, with_facts, written
 from gridpoint.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LEAST = 200
@@ -169,8 +172,9 @@ class Dedup:
 
     def whole(self, found: DataFrame) -> DataFrame:
         """Ranges of segments that occur twice as they are."""
-        twice = found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return found.select("key", "hash", "id", "sign", "start", "length").join(twice, ["key", "hash"]).select("id", "sign", "start", (F.col("start") + F.col("length")).alias("end"))
+        twice = written(found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-segments")
+        own = found.select("key", "hash", "id", "sign", "start", "length")
+        return with_facts(own, twice, ["key", "hash"], "n", found.count()).select("id", "sign", "start", (F.col("start") + F.col("length")).alias("end"))
 
     def partial(self, found: DataFrame) -> DataFrame:
         """Ranges of strings that differing segments share."""
@@ -209,11 +213,8 @@ class Dedup:
 
         strings = hot.mapInArrow(emit, f"key long, string long, id {self.kind}, sign long, start long")
         twice = written(strings.groupBy("key", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-strings")
-        same = ["key", "string"]
-        often = F.broadcast(twice.where(F.col("n") >= FREQUENT).select(same))  # one of so many strings at most
-        rest = strings.join(often, same, "left_anti").join(twice.where(F.col("n") < FREQUENT).select(same), same, "left_semi")
-        both = strings.join(often, same, "left_semi").select(strings.columns).union(rest.select(strings.columns))
-        return both.select("id", "sign", "start", (F.col("start") + LEAST).alias("end"))
+        total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # other strings occur once
+        return with_facts(strings, twice, ["key", "string"], "n", total).select("id", "sign", "start", (F.col("start") + LEAST).alias("end"))
 
     def sorted(self, some: DataFrame) -> DataFrame:
         """Ranges of strings that segments of a shard share, by induced sorting."""
@@ -296,7 +297,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep_
     steps = Dedup(df, key, text)
     found = steps.occurrences(steps.keys())
     ranges = written(steps.whole(found).union(steps.partial(found)), "ranges")
-    grouped = ranges.groupBy("id", "sign").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))  # at most a row's own length
+    grouped = ranges.groupBy("id", "sign").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))  # at most a row's own length, however often it is repeated
     signs = steps.share(bloom(ranges.select("sign").distinct(), "sign"))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
