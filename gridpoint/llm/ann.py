@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import table, written
+from gridpoint.llm.common import table, with_facts, written
 
 SAMPLE = 20_000
 MOST_LISTS = 2048
 GROUP_ROWS = 8192
+#: Queries that meet a list's rows at once.
+QUERY_ROWS = 2048
 TARGET = 0.97
 BLOCK = 16
 #: Width of the hypothesis test, in deviations of a partial distance.
@@ -154,11 +156,12 @@ def search_group(rows: pd.DataFrame, asked: pd.DataFrame, space: Space, top: int
         if k + 1 >= len(edges) or edges[k] == edges[k + 1]:
             continue
         at, own = order[edges[k] : edges[k + 1]], np.array(own)
-        a, b, d = scan(points[at], queries[own], limit[own], exact)
-        got_a.append(own[a]), got_b.append(at[b]), got_d.append(d)
-        held += len(a)
-        if held > 40 * len(asked) + 100_000:
-            settle()
+        for some in (own[s : s + QUERY_ROWS] for s in range(0, len(own), QUERY_ROWS)):
+            a, b, d = scan(points[at], queries[some], limit[some], exact)
+            got_a.append(some[a]), got_b.append(at[b]), got_d.append(d)
+            held += len(a)
+            if held > 40 * len(asked) + 100_000:
+                settle()
     if not got_a:
         return pd.DataFrame({n: [] for n in names})
     settle()
@@ -211,7 +214,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     candidates = placed.select((firsts[F.col("list")] + F.pmod(F.xxhash64("first"), parts[F.col("list")]).cast("int")).alias("group"), "list", "ids", "vector")
 
     asking = rows.where(F.col("id") % every == 0)
-    questions = asking.groupBy("hash", "vector").agg(F.min("id").alias("query"))
+    questions = written(asking.groupBy("hash", "vector").agg(F.min("id").alias("query"), F.count(F.lit(1)).alias("n")), "questions")
 
     def routed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -249,20 +252,22 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
         routes = asked.mapInArrow(dealt, "group int, query long, vector array<double>, start float, lists array<int>")
         return candidates.groupBy("group").cogroup(routes.groupBy("group")).applyInPandas(search, "query long, score double, ids array<long>")
 
-    own = asking.join(questions.withColumnRenamed("query", "q"), ["hash", "vector"]).select(F.col("id").alias("query_id"), F.col("q").alias("query"))
+    total = questions.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def ranked(own: DataFrame, hits: DataFrame) -> DataFrame:
-        """query_id, query, left: the nearest rows of every query row, none for one without hits."""
+        """query_id, hash, vector, query, left: the nearest rows of every query row, none for one without hits. One vector may be that of very many rows."""
         order = [F.desc("score"), F.asc("id")]
         best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("r") <= top + 1)
         each = best.select("query", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= top + 1)
         answers = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
         near = F.coalesce("near", F.array().cast("array<struct<r:int,id:long,score:double>>"))
-        return own.join(answers, "query", "left").select("query_id", "query", F.slice(F.filter(near, lambda s: s["id"] != F.col("query_id")), 1, top).alias("left"))
+        facts = written(questions.join(answers, "query", "left").select("hash", "vector", "n", "query", near.alias("near")), "answers")
+        both = with_facts(own.select("query_id", "hash", "vector"), facts, ["hash", "vector"], "n", total)
+        return both.select("query_id", "hash", "vector", "query", F.slice(F.filter("near", lambda s: s["id"] != F.col("query_id")), 1, top).alias("left"))
 
-    found = written(ranked(own, hits(asked, False)), "ranked")
+    found = written(ranked(asking.withColumnRenamed("id", "query_id"), hits(asked, False)), "ranked")
     whole = F.size("left") >= min(top, lengths[0]["count"] - 1)
-    short = found.where(~whole).select("query_id", "query")
+    short = found.where(~whole)
     if not short.isEmpty():
         again = asked.join(short.select("query").distinct(), "query", "left_semi").select(*asked.columns)
         found = found.where(whole).union(ranked(short, hits(again, True)))
