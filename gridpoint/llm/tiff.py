@@ -1,11 +1,13 @@
 """TIFF media columns: image directories, strips and tiles, compressions and predictors, one row a page.
 
 read_pages() walks a file's directories and decodes every page: classic or big, either byte order, strips or tiles,
-8 or 16 bits a sample, one plane or several, stored plain, as PackBits, LZW or deflate, with or without the horizontal
+1, 2, 4, 8, 16 or 32 bits a sample, one plane or several, stored plain, as PackBits, LZW or deflate, with or without the horizontal
 predictor. write_pages() is its counterpart for 8-bit grey pages.
 
-A null file gives no page; a file or page that can't be decoded gives one row with its error, and the rest goes on.
-Repeated rows are decoded one by one. Pages leave a task as they are decoded, so a long file needs memory for one page.
+A null file gives no page; a file or page that can't be decoded gives one row with its error, and the rest goes on. What
+a directory claims is held against what its strips can hold before room is made, so a few bytes can't ask for a page of
+gigabytes. Repeated rows, and equal texts, are decoded one by one, with equal results. Pages leave a task as they are
+decoded, so a long file needs memory for one page. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -231,29 +233,47 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
         yield order, tags
 
 
+#: The most bytes that a byte of a compressed strip can stand for. Fixed values of the formats.
+MOST_FROM_ONE = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
+
+
 def decode_page(data: bytes, order: str, tags: dict[int, list]) -> tuple[dict, bytes]:
-    """A directory's facts, and its samples row by row, in the machine's byte order."""
+    """A directory's facts, and its samples row by row, in the machine's byte order; samples under a byte come as bytes."""
     first = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples, kind, predictor = first(WIDTH, 0), first(HEIGHT, 0), first(SAMPLES, 1), first(COMPRESSION, 1), first(PREDICTOR, 1)
     bits = first(BITS, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits a sample, predictor {predictor}")
-    type_ = np.dtype(np.uint8 if bits == 8 else f"{order}u2")
+    if bits not in (1, 2, 4, 8, 16, 32) or predictor not in (1, 2) or kind not in MOST_FROM_ONE or (predictor == 2 and bits < 8):
+        raise ValueError(f"{bits} bits a sample, compression {kind}, predictor {predictor}")
+    type_ = np.dtype(np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
     planes = samples if first(PLANAR, 1) == 2 else 1
-    inside = samples // planes
     tiled = TILE_AT in tags
     wide, high = (first(TILE_WIDTH, 0), first(TILE_HEIGHT, 0)) if tiled else (width, min(first(STRIP_ROWS, height), height))
-    across, down = -(-width // max(wide, 1)), -(-height // max(high, 1))
-    out = np.zeros((planes, height, width, inside), np.uint8 if bits == 8 else np.uint16)
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError(f"{width} x {height} pixels of {samples} samples in pieces of {wide} x {high}")
+    inside = samples // planes
+    across, down = -(-width // wide), -(-height // high)
     places, sizes = tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES]
+    row_bytes = -(-wide * inside * bits // 8)
+    most = MOST_FROM_ONE[kind]
+    if min(len(places), len(sizes)) < planes * across * down or high * row_bytes > most * (len(data) + 1) or planes * across * down * row_bytes > most * len(data):
+        raise ValueError("more samples than strips can hold")
+    for k in range(planes * across * down):
+        rows = high if tiled else min(high, height - k // across % down * high)
+        if rows * row_bytes > most * max(0, min(sizes[k], len(data) - places[k])):
+            raise ValueError("more samples than a strip can hold")
+    out = np.zeros((planes, height, width, inside), type_.newbyteorder("="))
     for k in range(planes * across * down):
         plane, row, column = k // (across * down), k // across % down * high, k % across * wide
         rows = high if tiled else min(high, height - row)
-        size = rows * wide * inside * type_.itemsize
+        size = rows * row_bytes
         raw = decompressed(data[places[k] : places[k] + sizes[k]], kind, size)
         if len(raw) < size:
             raise ValueError("too few samples")
-        block = np.frombuffer(raw, type_, rows * wide * inside).reshape(rows, wide, inside).astype(out.dtype)
+        if bits < 8:
+            flags = np.unpackbits(np.frombuffer(raw, np.uint8, size).reshape(rows, row_bytes), axis=1)[:, : wide * inside * bits]
+            block = (flags.reshape(rows, wide, inside, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        else:
+            block = np.frombuffer(raw, type_, rows * wide * inside).reshape(rows, wide, inside).astype(out.dtype)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=out.dtype)
         out[plane, row : row + rows, column : column + wide] = block[: height - row, : width - column]
@@ -269,7 +289,7 @@ def read_pages(data: bytes) -> Iterator[dict]:
             try:
                 facts, pixels = decode_page(data, order, tags)
                 yield {"page": page, **facts, "pixels": pixels, "error": None}
-            except (KeyError, IndexError, ValueError, struct.error, zlib.error) as error:
+            except (KeyError, IndexError, ValueError, OverflowError, struct.error, zlib.error) as error:
                 yield {"page": page, "error": repr(error)}
             page += 1
     except (ValueError, struct.error) as error:
@@ -339,5 +359,34 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", utf8().alias("text")).mapInArrow(stored, schema)
 
 
-QUERIES = {"op5_tiff": op5_tiff}
-ORACLES: dict[str, str] = {}
+#: How tiff_pages stores a text, by its length's remainder.
+FORMS = ((LZW, 2, False), (PACKBITS, 1, True), (DEFLATE, 2, True), (PLAIN, 1, False), (LZW, 1, True))
+
+
+def tiff_pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in one of FORMS, and one row for each page that is read back."""
+
+    def stored(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for s in range(0, batch.num_rows, 64):
+                part = batch.slice(s, 64)
+                media = [write_pages(padded(d), *FORMS[len(d) % len(FORMS)]) for d in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
+
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", utf8().alias("text")).mapInArrow(stored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    pages = tiff_pages(files, "doc_id", "media")
+    return pages.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("page", "width", "height", "bits", "compression", "predictor")), F.sha2("pixels", 256).alias("pixels_sha256"), "error")
+
+
+TIFF_PAGES_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT rid, doc_id, octet_length(b) AS n, unhex(hex(b) || repeat('00', CAST(CASE WHEN octet_length(b) = 0 THEN {PAGE_WIDTH} ELSE ({PAGE_WIDTH} - octet_length(b) % {PAGE_WIDTH}) % {PAGE_WIDTH} END AS BIGINT))) AS b FROM t),
+q AS (SELECT *, octet_length(b) AS size, unnest(range(0, CAST(ceil(octet_length(b) / {PAGE_WIDTH * PAGE_ROWS}.0) AS BIGINT))) AS page FROM p)
+SELECT doc_id, page, CAST({PAGE_WIDTH} AS BIGINT) AS width, least({PAGE_ROWS}, size // {PAGE_WIDTH} - page * {PAGE_ROWS}) AS height, CAST(8 AS BIGINT) AS bits,
+  CAST([{", ".join(str(k) for k, _, _ in FORMS)}][n % {len(FORMS)} + 1] AS BIGINT) AS compression, CAST([{", ".join(str(p) for _, p, _ in FORMS)}][n % {len(FORMS)} + 1] AS BIGINT) AS predictor,
+  sha256(unhex(substr(hex(b), CAST(page * {2 * PAGE_WIDTH * PAGE_ROWS} + 1 AS BIGINT), {2 * PAGE_WIDTH * PAGE_ROWS}))) AS pixels_sha256, CAST(NULL AS VARCHAR) AS error FROM q
+"""
+
+QUERIES = {"op5_tiff": op5_tiff, "tiff_pages": tiff_pages_of_documents}
+ORACLES: dict[str, str] = {"tiff_pages": TIFF_PAGES_SQL}

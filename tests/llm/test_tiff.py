@@ -67,6 +67,47 @@ def test_bad_files_are_rows(spark):
     assert sorted((r.id, r.error is None) for r in got) == [(1, True), (1, True), (3, False), (4, False), (5, False), (5, True), (6, False)]
 
 
+def header(tags, data=b""):
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("changes", [{257: 2**32 - 1}, {256: 2**32 - 1, 257: 2**32 - 1}, {277: 0}, {277: 60_000}, {256: 0}, {278: 0}, {258: 7}, {259: 9}, {279: 2**32 - 1, 257: 2**31}])
+def test_claims_are_held_against_the_bytes(changes):
+    tags = {256: 8, 257: 8, 258: 8, 259: 1, 262: 1, 273: 8, 277: 1, 278: 8, 279: 64} | changes
+    (page,) = read_pages(header(tags, bytes(64)))
+    assert page["error"] and "pixels" not in page
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 32])
+def test_other_sample_sizes(bits):
+    values = np.random.default_rng(bits).integers(0, 1 << min(bits, 31), (5, 7)).astype("<u4")
+    if bits == 32:
+        data = values.tobytes()
+    else:
+        flags = (values[:, :, None] >> np.arange(bits - 1, -1, -1)) & 1
+        data = np.packbits(flags.reshape(5, -1).astype(np.uint8), axis=1).tobytes()
+    (page,) = read_pages(header({256: 7, 257: 5, 258: bits, 259: 1, 262: 1, 273: 8, 277: 1, 278: 5, 279: len(data)}, data))
+    assert page["error"] is None and (np.frombuffer(page["pixels"], np.uint32 if bits == 32 else np.uint8).reshape(5, 7) == values).all()
+
+
+def test_pages_of_documents_equal_sql(spark, tmp_path):
+    import duckdb
+    from gridpoint.llm.tiff import TIFF_PAGES_SQL, tiff_pages_of_documents
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a" * 64, "é" * 70, "b" * 63, "word " * 60_000, "x" * 131_072, "aab" * 50_001])], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.execute(TIFF_PAGES_SQL)
+    names = [d[0] for d in told.description]
+    got = tiff_pages_of_documents(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, told.fetchall()))
+    empty = f"{tmp_path}/none"
+    df.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert tiff_pages_of_documents(spark, empty).count() == 0 and op5_tiff(spark, empty).count() == 0
+
+
 def test_query(spark, tmp_path):
     texts = [None, "", "a" * 64, "é" * 70, "word " * 60_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
