@@ -8,8 +8,9 @@ training, and takes the codeword with the least loss; the score is its share by
 where the runner-up is close.
 
 N-grams are hashed bytes (three at a time, A-Z lower-cased), so any script counts. Null texts and texts without a letter
-are "und" with score 0. Without a training document every text is "und". Training ignores null languages and texts.
-Repeated rows are judged one by one and counted as often as they occur. Texts of any length are read whole, in slices.
+are "und" with score 0. Without a training document every text is "und". Training ignores null languages and texts, and where
+there are more than MOST_LANGUAGES values it learns those of the most training documents. Repeated rows are judged one by
+one and counted as often as they occur. Texts of any length are read whole, in slices. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from gridpoint.llm.common import bytes_of, row_slices, table, utf8
 BUCKETS = 1 << 15
 GRAM = 3
 SMOOTHING = 0.5
-#: More languages than this are an error: the model, LANGUAGES x BUCKETS counts, is made on the driver.
+#: The model, so many languages x BUCKETS counts at most, is made on the driver.
 MOST_LANGUAGES = 400
 SLICE = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -147,18 +148,19 @@ class Model:
         return share.argmax(axis=1), share.max(axis=1), lead
 
 
-def fitted(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of all rows of df with a language and a text; None without any."""
-    found = gram_counts(df, text, lang)
-    rows = found.toPandas()  # at most languages x buckets
-    langs = sorted(rows["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} at most")
+def fitted(df: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> Model | None:
+    """A model of all rows of df with a language (one of the most common, most of them) and a text; None without any."""
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    common = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    langs = sorted(r["lang"] for r in common.select("lang").collect())
     if not langs:
         return None
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[np.searchsorted(langs, rows["lang"]), rows["bucket"]] = rows["n"]
-    return Model(langs, counts)
+    place = F.create_map(*(F.lit(x) for k, name in enumerate(langs) for x in (name, k * BUCKETS)))
+    found = gram_counts(known.where(F.col(lang).isin(langs)), text, lang)
+    rows = found.select((place[F.col("lang")] + F.col("bucket")).alias("at"), "n").toPandas()  # at most languages x buckets, two numbers each
+    counts = np.zeros(len(langs) * BUCKETS)
+    counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return Model(langs, counts.reshape(len(langs), BUCKETS))
 
 
 def predicted(df: DataFrame, model: Model | None, text: str = "text", losses: bool = False) -> DataFrame:
@@ -195,12 +197,13 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", losses: bo
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+    """Whether a row is kept from training; not for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """df with predictions of a model of the rows of df that aren't held out."""
-    return predicted(df, fitted(df.where(~F.coalesce(held_out(key), F.lit(False))), text, lang), text)
+    return predicted(df, fitted(df.where(~held_out(key)), text, lang), text)
 
 
 def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -208,7 +211,7 @@ def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
     Where no model can be fitted, all rows with a letter.
     """
-    training = df.where(~F.coalesce(held_out(key), F.lit(False)))
+    training = df.where(~held_out(key))
     model = fitted(training, text, lang)
     if model is None:
         return df.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))

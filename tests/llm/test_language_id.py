@@ -53,3 +53,42 @@ def test_unintelligible_texts_go_and_short_ones_stay(spark):
     assert {r.doc_id for r in intelligible(df).collect()} == set(range(800))
     none = spark.createDataFrame([(1, "abc def", None), (2, "123", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in intelligible(none).collect()] == [1]
+
+
+def test_a_dirty_lang_column_ends_no_job(spark):
+    langs = list(PARTS)
+    rows = [(i, text(langs[i % 4], i), langs[i % 4]) for i in range(200)] + [(1000 + i, text("aa", i), f"junk{i}") for i in range(60)]
+    df = spark.createDataFrame(rows + [(None, "tho ing", None)], "doc_id long, text string, lang string")
+    model = fitted(df.where(~held_out("doc_id")), most=4)
+    assert model.langs == langs
+    got = predicted(df.where("doc_id < 200"), model).collect()
+    assert sum(r._lang_pred == r.lang for r in got) >= 198
+    assert [r.h for r in df.where("doc_id IS NULL").select(held_out("doc_id").alias("h")).collect()] == [False]
+
+
+def test_decoding_equals_a_plain_count(spark):
+    """Predictions against log-ratios and losses counted text by text."""
+    from collections import Counter
+
+    from gridpoint.llm.language_id import BUCKETS, GRAM, MARGIN_SCALE, SMOOTHING, buckets
+
+    langs = list(PARTS)
+    rows = [(i, text(langs[i % 4], i, 1 + i % 9), langs[i % 4]) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identified(df).collect()}
+
+    def grams(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        return [int(b) for b in buckets(data, np.array([0, len(data)])) if b < BUCKETS] if len(data) >= GRAM else []
+
+    counts = {name: Counter(g for i, t, own in rows if own == name and zlib.crc32(str(i).encode()) % 3 != 1 for g in grams(t)) for name in langs}
+    share = {name: (np.array([c[b] for b in range(BUCKETS)]) + SMOOTHING) / (sum(c.values()) + SMOOTHING * BUCKETS) for name, c in counts.items()}
+    code = codewords(4)
+    ratio = np.array([np.log(np.mean([share[n] for n, w in zip(langs, code) if w[b] > 0], axis=0)) - np.log(np.mean([share[n] for n, w in zip(langs, code) if w[b] < 0], axis=0)) for b in range(code.shape[1])])
+    weight = np.maximum(np.min([[share[n] @ ratio[b] * w[b] for b in range(code.shape[1])] for n, w in zip(langs, code)], axis=0), 1e-3)
+    weight /= weight.sum()
+    for i, t, _ in rows:
+        margin = ratio[:, grams(t)].mean(axis=1)
+        loss = (weight * np.log1p(np.exp(-4 * margin * code))).sum(axis=1)
+        chance = np.exp(-MARGIN_SCALE * (loss - loss.min()))
+        assert got[i]._lang_pred == langs[int(loss.argmin())] and abs(got[i]._score - 1 / chance.sum()) < 1e-3
