@@ -68,7 +68,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total:
     Facts of frequent keys are broadcast, so that their rows stay where they are; the others are joined by key.
     """
     often = facts.where(F.col(n) > frequent_from(total))
-    if often.isEmpty():
+    if total <= frequent_from(total) or often.isEmpty():
         return rows.join(facts, on)
     names = [*rows.columns, *(c for c in facts.columns if c not in on)]
     here, rest = rows.join(F.broadcast(often), on), rows.join(F.broadcast(often.select(on)), on, "left_anti")
@@ -78,6 +78,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total:
 def salted(rows: DataFrame, wide: DataFrame, key: str, spread: str, total: int) -> DataFrame:
     """rows (a written table of total rows) joined by key to wide, whose rows are too large to broadcast. A frequent key's
     rows are dealt by spread to several tasks, each with a copy of its wide row."""
+    if total <= frequent_from(total):
+        return rows.join(wide, key)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent_from(total))
     parts = written(counts.select(key, F.ceil(F.col("n") / frequent_from(total)).cast("int").alias("parts")), "frequent-keys")
     if parts.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import with_facts, written
+from gridpoint.llm.common import frequent_from, with_facts, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if large:
             around = around.union(found.select(F.col("b").alias("x"), F.col("a").alias("y")))
         least = around.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("x", "m"))
-        least = written(least, "least")
-        tied = with_facts(around, least, ["x"], "n", 4 * count)
+        some = 4 * count > frequent_from(4 * count)  # else no node has many neighbours
+        tied = with_facts(around, written(least, "least") if some else least, ["x"], "n", 4 * count)
         if large:
             return tied.where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
         out = tied.where("y <> m").select(F.col("y").alias("a"), F.col("m").alias("b")).union(least.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")))
@@ -35,5 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last = None
     while (now := tuple(facts(edges))) != last:
         last, count = now, now[0]
-        edges = written(star(written(star(edges, True), "edges"), False), "edges")
+        large = star(edges, True)
+        edges = written(star(written(large, "edges") if 4 * count > frequent_from(4 * count) else large, False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -206,10 +206,11 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return predicted(df, fitted(df.where(~held_out(key)), text, lang), text)
 
 
-def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fill: bool = False) -> DataFrame:
     """Rows with a letter whose loss against the nearest codeword isn't far beyond that language's training texts of its length.
 
-    Where no model can be fitted, all rows with a letter.
+    Where no model can be fitted, all rows with a letter. With fill, a null language becomes the predicted one where the
+    decoder isn't in doubt.
     """
     training = df.where(~held_out(key))
     model = fitted(training, text, lang)
@@ -229,7 +230,9 @@ def intelligible(df: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     limits = df.sparkSession.createDataFrame(rows, "_of string, _length int, _limit double")
     judged = predicted(df, model, text, losses=True).where("_lang_pred <> 'und'")
     found = judged.join(F.broadcast(limits), (F.col("_lang_pred") == F.col("_of")) & (length == F.col("_length")), "left")
-    return found.where(F.col("_limit").isNull() | (F.col("_loss") <= F.col("_limit"))).select(*df.columns)
+    own = F.when(F.col(lang).isNull() & ~F.col("_ambiguous"), F.col("_lang_pred")).otherwise(F.col(lang)) if fill else F.col(lang)
+    kept = found.where(F.col("_limit").isNull() | (F.col("_loss") <= F.col("_limit")))
+    return kept.select(*(own.alias(c) if c == lang else F.col(c) for c in df.columns))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

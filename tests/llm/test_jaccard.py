@@ -81,7 +81,10 @@ def test_texts_that_collide_modulo_powers_of_two_stay_apart(spark):
 def test_frequent_keys_are_split(spark, monkeypatch):
     from gridpoint.llm import common
 
-    monkeypatch.setattr(common, "frequent_from", lambda total, least=500: 3)
+    from gridpoint.llm import components
+
+    for module in (common, components):
+        monkeypatch.setattr(module, "frequent_from", lambda total, least=500: 3)
     rows = corpus(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(rows)
