@@ -17,8 +17,11 @@ KEPT = 0.9
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go: without a letter, or far from every language for their length. Short clean ones stay."""
-    return language_id.intelligible(docs)
+    """Documents that the classifier rejects go: without a letter, or far from every language for their length. Short clean ones stay.
+
+    A document without a language takes the predicted one, by which the mixture then weighs it.
+    """
+    return language_id.intelligible(docs, fill=True)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
