@@ -24,7 +24,10 @@ SPAN = r"""(?i)\b{}\s*=\s*["']?(\d+)"""
 SPANS_ROWS = r"""(?i)\browspan\s*=\s*["']?0*(?:[2-9]|[1-9]\d+)"""
 LINE_BREAK = r"(?i)<break\b[^>]*/?>"
 BARE_NUMBER = r"(?U)^[-+]?\d+(?:\.\d+)?[*†‡§]*\z"
-CSV_FIELD = r'("[^"]*(?:""[^"]*)*"[^,\n]*|[^,\n]*)(,|\n|\z)'
+# A quoted field with doubled quotes, which the text's end closes too, or a plain one; possessive, so that no text makes the
+# matcher's stack grow. \x01, which cleaned bodies don't hold, marks the end.
+CSV_FIELD = r'(?:"[^"\x01]*+(?:""[^"\x01]*+)*+(?:"[^,\n\x01]*+|(?=\x01))|[^,\n\x01]*+)'
+CSV_RECORD = rf"({CSV_FIELD}(?:,{CSV_FIELD})*+)[\n\x01]"
 
 LABEL_RECORD = T.StructType(
     [T.StructField(n, T.BooleanType() if n in ("extractor_found", "hand_judged") else T.StringType()) for n in ("table_serialised", "caption", "footer", "label", "extractor_found", "hand_judged", "source", "table_id", "slug", "article_id")]
@@ -104,17 +107,16 @@ def from_cals(raw: Column) -> Column:
 def from_csv(raw: Column) -> Column:
     """Rows of fields; the first row without a digit is the header."""
     body = F.regexp_replace(F.replace(F.replace(F.coalesce(raw, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), CONTROL, "")
-    fields = F.regexp_extract_all(body, F.lit(CSV_FIELD), F.lit(0))
 
-    def take(state: Column, piece: Column) -> Column:
-        field = F.regexp_extract(piece, CSV_FIELD, 1)
-        plain = F.when(F.startswith(field, F.lit('"')), F.replace(F.concat(F.regexp_extract(field, r'(?s)^"((?:[^"]|"")*+)"', 1), F.regexp_extract(field, r'(?s)^"(?:[^"]|"")*+"(.*)\z', 1)), F.lit('""'), F.lit('"'))).otherwise(field)
-        row = F.concat(state["row"], F.array(clean(plain)))
-        more = F.endswith(piece, F.lit(",")) & (piece != field)
-        return F.when(more, F.struct(row.alias("row"), state["rows"].alias("rows"))).otherwise(F.struct(F.array().cast("array<string>").alias("row"), F.concat(state["rows"], F.array(row)).alias("rows")))
+    def plain(field: Column) -> Column:
+        parts = r'(?s)^"((?:[^"]|"")*+)"?(.*)\z'
+        quoted = F.replace(F.concat(F.regexp_extract(field, parts, 1), F.regexp_extract(field, parts, 2)), F.lit('""'), F.lit('"'))
+        return clean(F.when(F.startswith(field, F.lit('"')), quoted).otherwise(field))
 
-    start = F.struct(F.array().cast("array<string>").alias("row"), F.array().cast("array<array<string>>").alias("rows"))
-    rows = F.filter(F.aggregate(fields, start, take, lambda s: s["rows"]), lambda r: F.exists(r, lambda c: c != ""))
+    end = F.lit("\x01")
+    records = F.regexp_extract_all(F.concat(body, end), F.lit(CSV_RECORD), F.lit(1))
+    every = F.transform(records, lambda r: F.transform(F.regexp_extract_all(F.concat(r, end), F.lit(f"({CSV_FIELD})[,\\x01]"), F.lit(1)), plain))
+    rows = F.filter(every, lambda r: F.exists(r, lambda c: c != ""))
 
     def grid(r: Column, head: Column) -> Column:
         return F.transform(r, lambda row, i: F.transform(row, lambda c: cell(c, i == head, F.lit(1), F.lit(1))))
