@@ -214,7 +214,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     candidates = placed.select((firsts[F.col("list")] + F.pmod(F.xxhash64("first"), parts[F.col("list")]).cast("int")).alias("group"), "list", "ids", "vector")
 
     asking = rows.where(F.col("id") % every == 0)
-    questions = written(asking.groupBy("hash", "vector").agg(F.min("id").alias("query"), F.count(F.lit(1)).alias("n")), "questions")
+    questions = asking.groupBy("hash", "vector").agg(F.min("id").alias("query"), F.count(F.lit(1)).alias("n"))
 
     def routed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -223,9 +223,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                 part = batch.slice(s, 512)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 _, start, lists = index.routed(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(start, pa.float32()), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query", "vector", "start", "lists"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(start, pa.float32()), pa.array(lists.tolist(), pa.list_(pa.int32())), part.column(2)], ["query", "vector", "start", "lists", "n"])
 
-    asked = written(questions.select("query", "vector").mapInArrow(routed, "query long, vector array<double>, start float, lists array<int>"), "routes")
+    asked = written(questions.select("query", "vector", "n").mapInArrow(routed, "query long, vector array<double>, start float, lists array<int>, n long"), "routes")
 
     def hits(asked: DataFrame, exact: bool) -> DataFrame:
         """The best candidates of every group that a query goes to: those of its lists, or all if exact."""
@@ -252,7 +252,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
         routes = asked.mapInArrow(dealt, "group int, query long, vector array<double>, start float, lists array<int>")
         return candidates.groupBy("group").cogroup(routes.groupBy("group")).applyInPandas(search, "query long, score double, ids array<long>")
 
-    total = questions.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def ranked(own: DataFrame, hits: DataFrame) -> DataFrame:
         """query_id, hash, vector, query, left: the nearest rows of every query row, none for one without hits. One vector may be that of very many rows."""
@@ -261,11 +261,11 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
         each = best.select("query", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= top + 1)
         answers = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
         near = F.coalesce("near", F.array().cast("array<struct<r:int,id:long,score:double>>"))
-        facts = written(questions.join(answers, "query", "left").select("hash", "vector", "n", "query", near.alias("near")), "answers")
+        facts = written(asked.join(answers, "query", "left").select(F.xxhash64("vector").alias("hash"), "vector", "n", "query", near.alias("near")), "answers")
         both = with_facts(own.select("query_id", "hash", "vector"), facts, ["hash", "vector"], "n", total)
         return both.select("query_id", "hash", "vector", "query", F.slice(F.filter("near", lambda s: s["id"] != F.col("query_id")), 1, top).alias("left"))
 
-    found = written(ranked(asking.withColumnRenamed("id", "query_id"), hits(asked, False)), "ranked")
+    found = ranked(asking.withColumnRenamed("id", "query_id"), hits(asked, False))
     whole = F.size("left") >= min(top, lengths[0]["count"] - 1)
     short = found.where(~whole)
     if not short.isEmpty():
