@@ -68,6 +68,13 @@ STATISTICS = {
 }
 
 
+#: Axis columns side by side in a rendered header, as x y z and as R A S, and what marks a header cell. Fixed values.
+AXIS_CELL = r"#?\s*{}\s*(?:\([^)]*\)|\[[^\]]*\]|coord\w*|axis|mm|cm|position)?\s*"
+XYZ_RUN = "(?iU)" + r"\s*\|\s*".join(AXIS_CELL.format(a) for a in "xyz") + r"(?!\w)"
+RAS_RUN = r"(?iU)#?\s*R\s*\|\s*#?\s*A\s*\|\s*#?\s*S(?!\w)|#?\s*Right\s*\|\s*#?\s*Anterior\s*\|\s*#?\s*Superior(?!\w)"
+HEADER_CELL = r"(?U)^\s*#\s*(?:[<^]\d+:)?\s*"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -206,6 +213,25 @@ def claimed_statistic(context: Column) -> Column:
     return statistic_type(named)
 
 
+def statistic_named_by(table: Column, caption: Column, footer: Column) -> Column:
+    """The preferred one of the statistics that a rendered table's header names and its caption or footer claims; where
+    neither says one, of those that single sentences of caption and footer name."""
+    kinds = lambda texts: F.filter(F.transform(texts, statistic_type), lambda k: k.isNotNull())
+    context = F.concat(F.coalesce(caption, F.lit("")), F.lit(" "), F.coalesce(footer, F.lit("")))
+    top = F.array_join(F.slice(F.split(F.coalesce(table, F.lit("")), "\n", -1), 1, 3), "\n")
+    masked = F.regexp_replace(F.regexp_replace(top, XYZ_RUN, " coord "), RAS_RUN, " coord ")
+
+    def of_header(head: Column) -> Column:
+        marked = F.filter(F.split(head, "[|\n]", -1), lambda c: c.rlike(HEADER_CELL))
+        plain = F.split(F.get(F.split(head, "\n", -1), F.lit(0)), "[|]", -1)
+        return let(marked, lambda m: kinds(F.when(F.size(m) > 0, F.transform(m, lambda c: F.regexp_replace(c, HEADER_CELL, ""))).otherwise(plain)))
+
+    def with_context(hits: Column, claimed: Column, context: Column) -> Column:
+        return F.when(claimed.isNotNull(), F.concat(hits, F.array(claimed))).when(F.size(hits) == 0, kinds(F.split(context, "[.]", -1))).otherwise(hits)
+
+    return let(bind(let(masked, of_header), claimed_statistic(context), context, body=with_context), best_of)
+
+
 def cluster_measure(header: Column) -> Column:
     cubic, voxels = header.rlike(CUBIC), header.rlike(VOXELS)
     return F.when(cubic & ~voxels, "mm^3").when(voxels & ~cubic, "voxels")

@@ -77,6 +77,11 @@ def resolve(rows: Column) -> Column:
     return F.aggregate(rows, start, row, lambda s: s["rows"])
 
 
+def filled(placed: Column) -> Column:
+    """A placed grid as array<array<CELL>> in which each covered cell is one of its own, so that placing it again changes nothing."""
+    return F.transform(placed, lambda row: F.transform(row, lambda c: F.struct(*(c[n].alias(n) for n in ("text", "header", "colspan", "rowspan")))))
+
+
 def informative(c: Column) -> Column:
     return ~c["filler"] & (~c["text"].rlike(EMPTY_MARKS) | c["text"].rlike(r"(?U)\d"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,7 @@ BARE_NUMBER = r"(?U)^[-+]?\d+(?:\.\d+)?[*†‡§]*\z"
 CSV_FIELD = r'(?:"[^"\x01]*+(?:""[^"\x01]*+)*+(?:"[^,\n\x01]*+|(?=\x01))|[^,\n\x01]*+)'
 CSV_RECORD = rf"({CSV_FIELD}(?:,{CSV_FIELD})*+)[\n\x01]"
 
+JUDGED_RECORD = "article string, source string, table_id string, shape string, verdict string, text string, caption string"
 LABEL_RECORD = T.StructType(
     [T.StructField(n, T.BooleanType() if n in ("extractor_found", "hand_judged") else T.StringType()) for n in ("table_serialised", "caption", "footer", "label", "extractor_found", "hand_judged", "source", "table_id", "slug", "article_id")]
 )
@@ -144,6 +148,21 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL_RECORD).json(path)
 
 
+def judged_negatives(spark: SparkSession, path: str) -> DataFrame:
+    """Tables judged by eye to hold no coordinates, from a JSON array; no rows where there is no such file, or it is no JSON."""
+    try:
+        rows = spark.read.schema(JUDGED_RECORD).option("multiLine", True).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no judged tables at {path}", stacklevel=2)
+        rows = spark.createDataFrame([], JUDGED_RECORD)
+    own = rows.where((F.col("verdict") == "negative") & (F.col("text") != ""))
+    return own.select(
+        F.col("article").alias("article_id"), "source", "table_id", "shape", F.col("text").alias("table_serialised"), F.coalesce("caption", F.lit("")).alias("caption"),
+        F.lit("").alias("footer"), F.lit("hand-judged").alias("origin"), F.lit(0).alias("n_analyses"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Writes JSON lines and tells how many."""
     df.write.mode("overwrite").json(path)

@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from gridpoint.functions.text import statistic_named_by
 from gridpoint.operators import gate as K
+from gridpoint.operators import grid as G
 from gridpoint.operators import trainset as T
 from gridpoint.operators.features import NAMES
 from gridpoint.plans import factory as M
@@ -85,3 +87,42 @@ def test_analyses_follow_sections(spark):
     some = [(points, [(2, "A"), (5, "B"), (7, "A")], " cap "), (points, [(2, "A")], None), (points[:2], [], "cap"), (points, [], "cap")]
     got = [None if r.analyses is None else [(a.name, [p.x for p in a.points]) for a in r.analyses] for r in T.with_analyses(spark.createDataFrame(some, schema)).collect()]
     assert got == [[("cap", [0.0]), ("A", [1.0, 2.0]), ("B", [3.0]), ("A", [4.0])], None, None, [("cap", [0.0, 1.0, 2.0, 3.0, 4.0])]]
+
+
+def test_statistic_named_by(spark):
+    some = [
+        ("#R | #A | #S | #Peak\n1 | 2 | 3 | 4", None, None, None),
+        ("Side | t\nR | 3", "", "", "T"),
+        ("#Side | #<2:p\nR | 3", "Values are t statistics", "", "T"),
+        ("#Side\nR | 3", "", "p below .05 corrected. Peak", "P"),
+        ("#x (MNI) | #y (MNI) | #z (MNI)\n1 | 2 | 3", "", "", None),
+        ("#Side | #p\nR | 3", "Peaks.", "Values shown are Z scores", "Z"),
+        ("#Side | #p\nR | 3", "Peaks", "Values shown are Z scores", "P"),  # "Peaks values shown" is the first claim, of no statistic
+        (None, None, None, None),
+        ("", "", "", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in some], "t string, c string, f string")
+    got = [r.k for r in df.select(statistic_named_by(F.col("t"), F.col("c"), F.col("f")).alias("k")).collect()]
+    assert got == [r[3] for r in some]
+
+
+def test_filled_grid_is_placed_alike(spark):
+    made = "transform(array(0), i -> named_struct('text', 'a', 'header', false, 'colspan', 1, 'rowspan', 2))"
+    rows = F.expr(f"array(concat({made}, array(named_struct('text', 'b', 'header', false, 'colspan', 1, 'rowspan', 1))), array(named_struct('text', 'c', 'header', false, 'colspan', 1, 'rowspan', 1)))")
+    own = spark.range(1).select(G.resolve(rows.cast(f"array<array<{G.CELL}>>")).alias("placed"))
+    r = own.select("placed", G.resolve(G.filled(F.col("placed"))).alias("again")).first()
+    assert r.placed == r.again and [[c.text for c in row] for row in r.again] == [["a", "b"], ["~", "c"]]
+
+
+def test_judged_negatives(spark, tmp_path):
+    (tmp_path / "j.json").write_text('[{"verdict": "negative", "text": "a | b", "article": "1"}, {"verdict": "negative", "text": ""}, {"verdict": "positive", "text": "c"}, {"text": "d"}]')
+    got = markup.judged_negatives(spark, str(tmp_path / "j.json")).collect()
+    assert [(r.article_id, r.table_serialised, r.caption, r.origin) for r in got] == [("1", "a | b", "", "hand-judged")]
+    with pytest.warns(UserWarning):
+        assert markup.judged_negatives(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_compared_counts_repeats_and_nulls(spark):
+    left, right = (spark.createDataFrame(r, "x int") for r in ([(1,), (1,), (2,), (None,)], [(1,), (3,), (None,)]))
+    got = {r.x: (r.n_both, r.n_only_left, r.n_only_right) for r in T.compared(left, right, ("x",)).collect()}
+    assert got == {1: (1, 1, 0), 2: (0, 1, 0), 3: (0, 0, 1), None: (1, 0, 0)}
