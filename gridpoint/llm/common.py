@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -75,12 +76,12 @@ def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total:
     return here.select(names).unionByName(rest.join(facts.where(F.col(n) <= frequent_from(total)), on).select(names))
 
 
-def salted(rows: DataFrame, wide: DataFrame, key: str, spread: str, total: int) -> DataFrame:
-    """rows (a written table of total rows) joined by key to wide, whose rows are too large to broadcast. A frequent key's
-    rows are dealt by spread to several tasks, each with a copy of its wide row."""
+def salted(rows: DataFrame, wide: DataFrame, key: str, spread: str, total: int, counted: DataFrame | None = None) -> DataFrame:
+    """rows (of total rows) joined by key to wide, whose rows are too large to broadcast. A frequent key's rows are dealt by
+    spread to several tasks, each with a copy of its wide row. Keys are counted in counted, a written table with those of rows."""
     if total <= frequent_from(total):
         return rows.join(wide, key)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent_from(total))
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent_from(total))
     parts = written(counts.select(key, F.ceil(F.col("n") / frequent_from(total)).cast("int").alias("parts")), "frequent-keys")
     if parts.isEmpty():
         return rows.join(wide, key)
@@ -222,23 +223,33 @@ FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 LONG_WORD = 64
 
 
-def digests_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of low[start:end]: eight bytes at a time are mixed in, so words of up to eight bytes differ if they do
-    and no sums of powers are involved, which long words can share. Longer ones by a cryptographic digest."""
+def run_seed() -> int:
+    """64 random bits, drawn on the driver for one run of an operator: what its hashes tell apart can't be worked out beforehand."""
+    return secrets.randbits(64)
+
+
+def keyed(data: bytes | memoryview, seed: int) -> int:
+    """A signed 64-bit cryptographic digest under a seed."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def digests_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of low[start:end] under a seed: eight bytes at a time are mixed in, no sums of powers are involved,
+    which long words can share. Longer ones by a keyed digest."""
     whole = np.concatenate([low, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(low) + 1, "<u8", whole, strides=(1,))
     length = ends - starts
-    out, at, done = mix(length.astype(U64)), np.flatnonzero(length <= LONG_WORD), 0
+    out, at, done = mix(length.astype(U64) ^ U64(seed)), np.flatnonzero(length <= LONG_WORD), 0
     while len(at):
         left = length[at] - done
         out[at] = mix(out[at] * U64(BASE) + (eight[starts[at] + done] & FILLED[np.minimum(left, 8)]))
         at, done = at[left > 8], done + 8
     for i in np.flatnonzero(length > LONG_WORD):
-        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = keyed(low[starts[i] : ends[i]].tobytes(), seed) & 0xFFFFFFFFFFFFFFFF
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every row's bytes (lower-cased), and where each row's words begin (one more at the end)."""
     low = LOWER[data]
     inside = ~SPACE[low]
@@ -247,10 +258,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return digests_of(low, starts, ends), np.searchsorted(starts, offsets)
+    return digests_of(low, starts, ends, seed), np.searchsorted(starts, offsets)
 
 
-def long_word_hashes(data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def long_word_hashes(data: np.ndarray, most: int = 1 << 20, seed: int = 0) -> np.ndarray:
     """word_hashes of one long row, a piece at a time; pieces end at white space."""
     out, at = [], 0
     while at < len(data):
@@ -262,25 +273,27 @@ def long_word_hashes(data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
                 break
             size *= 2
         piece = data[at : at + size]
-        out.append(word_hashes(piece, np.array([0, len(piece)]))[0])
+        out.append(word_hashes(piece, np.array([0, len(piece)]), seed)[0])
         at += size
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and sorted distinct hashes of its word shingles; a row with fewer words has one of all, without words none."""
-    step = U64(BASE)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5, seed: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and sorted distinct hashes of its word shingles; a row with fewer words has one of all, without words none.
+
+    Each word is mixed into what stands before it, under the seed, so that no word can make up for another.
+    """
+    begin = mix(np.array([seed ^ BASE], U64))
     for first, last in row_slices(offsets):
         if last - first == 1 and offsets[last] - offsets[first] > (1 << 20):
-            words = long_word_hashes(data[offsets[first] : offsets[last]])
+            words = long_word_hashes(data[offsets[first] : offsets[last]], seed=seed)
             edges = np.array([0, len(words)])
         else:
-            words, edges = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            words, edges = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], seed)
         n = max(0, len(words) - size + 1)
-        whole = np.zeros(n, U64)
+        whole = np.repeat(begin, n)
         for k in range(size):
-            whole = whole * step + words[k : k + n]
-        whole = mix(whole)
+            whole = mix(whole + words[k : k + n])
         for i in range(last - first):
             s, e = edges[i], edges[i + 1]
             if e - s >= size:
@@ -289,9 +302,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
                 np.not_equal(own[1:], own[:-1], out=fresh[1:])
                 yield first + i, own[fresh]
             elif e > s:
-                few = np.full(1, e - s, U64)
+                few = begin + U64(e - s)
                 for k in range(s, e):
-                    few = few * step + words[k : k + 1]
-                yield first + i, mix(few)
+                    few = mix(few + words[k : k + 1])
+                yield first + i, few
             else:
                 yield first + i, np.zeros(0, U64)

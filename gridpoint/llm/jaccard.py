@@ -1,6 +1,6 @@
 """N-gram Jaccard join by size-aware heavy-light search; links make components.
 
-Sets are hashes of word shingles. Equal sets are one node, named by half of a
+Sets are hashes of word shingles under a seed that the driver draws for each run; results don't depend on it. Equal sets are one node, named by half of a
 128-bit digest; where both halves don't agree for all sets of a name, those sets are named by the other half. Two sets
 with a similarity of t or more share a key:
 - light sets (fewer shingles than a boundary) enumerate the subsets of two in their prefix, the first n - ceil(t n) + 2
@@ -14,7 +14,7 @@ shingles, and of all such pairs a set verifies the likeliest. Components follow.
 members meet next, again and again, until none of them merges. Then only pairs of a list that are still in different
 components are verified: all whose sizes and places in the order allow a link, so no link between components is lost and
 groups of copies cost no pairs. Long lists are divided by size bands and blocks, so that no task holds one whole. Sets
-are compared whole; a set with very many partners is copied to several tasks.
+are compared whole; a set with very many partners on either side is copied to several tasks.
 
 Null and empty texts, and texts without a word, have an empty set, are linked with nothing and are their own component.
 Texts with fewer words than a shingle are one shingle. Very long texts are read a piece at a time, whole. Repeated rows
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, salted, shingle_sets, table, utf8, with_facts, written
+from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, run_seed, salted, shingle_sets, table, utf8, with_facts, written
 from gridpoint.llm.components import connected_components
 
 #: Shingles in so many documents are put behind the others, and again at every STEP times as many.
@@ -65,8 +65,8 @@ class Namer:
         return other if name in self.clashing else name
 
 
-def each_set(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    yield from shingle_sets(*bytes_of(batch.column(1)), size)
+def each_set(batch: pa.RecordBatch, size: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    yield from shingle_sets(*bytes_of(batch.column(1)), size, seed)
 
 
 def halves(shingles: np.ndarray) -> np.ndarray:
@@ -292,19 +292,19 @@ class Join:
     """The steps of a join over one table, each a DataFrame."""
 
     def __init__(self, df: DataFrame, key: str, text: str, size: int, percent: int, bits: int = 64):
-        self.size, self.percent, self.namer = size, percent, Namer(bits=bits)
+        self.size, self.percent, self.namer, self.seed = size, percent, Namer(bits=bits), run_seed()
         self.docs = df.select(F.col(key).alias("key"), utf8(text).alias("text"))
         self.kind = df.schema[key].dataType.simpleString()
         self.spark = df.sparkSession
 
     def signatures(self) -> DataFrame:
         """key, n, node of every row; node is null for empty sets. Names that different sets would share are settled for all later steps."""
-        size, bits = self.size, self.namer.bits
+        size, seed, bits = self.size, self.seed, self.namer.bits
 
         def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
                 n, node, other = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-                for i, s in each_set(batch, size):
+                for i, s in each_set(batch, size, seed):
                     n[i] = len(s)
                     if len(s):
                         node[i], other[i] = digests(s, bits)
@@ -323,7 +323,7 @@ class Join:
         Tasks sort their shingles and send them by range, as gaps of two bytes; of one that a task has more than FREQUENT
         times it sends the number.
         """
-        size, most = self.size, FREQUENT
+        size, seed, most = self.size, self.seed, FREQUENT
         ranges = max(1, shingles // range_size)
         width = -(-(1 << 32) // ranges)
 
@@ -346,7 +346,7 @@ class Join:
                 return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (data, which, extra))], ["range", "data", "which", "extra"])
 
             for batch in found:
-                for _, s in each_set(batch, size):
+                for _, s in each_set(batch, size, seed):
                     held.append(halves(s))
                     n += len(s)
                 if n >= flush:
@@ -370,7 +370,7 @@ class Join:
 
     def keys(self, bands: list[Bloom], boundary: int) -> DataFrame:
         """key, place, node, n: prefix keys of every set, of equal ones about once in each task."""
-        size, percent = self.size, self.percent
+        size, seed, percent = self.size, self.seed, self.percent
         shared, namer = self.spark.sparkContext.broadcast(bands), self.namer
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ class Join:
                 if len(told) > 400_000:
                     told.clear()
                 keys, places, node, sets = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
-                for _, s in each_set(batch, size):
+                for _, s in each_set(batch, size, seed):
                     if len(s) > 1 and (name := namer(s)) not in told:  # a single shingle links only to its equal
                         told.add(name)
                         node.append(name), sets.append(s)
@@ -395,13 +395,13 @@ class Join:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given nodes, and by chance of some more."""
-        size, namer = self.size, self.namer
+        size, seed, namer = self.size, self.seed, self.namer
         shared = self.spark.sparkContext.broadcast(bloom(nodes, "node"))
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filter_ = shared.value
             for batch in found:
-                sets = [(namer(s), s) for _, s in each_set(batch, size) if len(s)]
+                sets = [(namer(s), s) for _, s in each_set(batch, size, seed) if len(s)]
                 node = np.array([x for x, _ in sets], np.int64)
                 keep = np.flatnonzero(filter_.holds(node)) if len(node) else []
                 own = dict((sets[i][0], sets[i][1].view(np.int64)) for i in keep)
@@ -415,8 +415,7 @@ class Join:
         """Those of the pairs (a, b), a written table, that link."""
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         total, named = pairs.count(), lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-        one = salted(pairs, named("a"), "a", "b", total)
-        both = one.join(named("b"), "b")
+        both = salted(salted(pairs, named("a"), "a", "b", total), named("b"), "b", "a", total, counted=pairs)
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 

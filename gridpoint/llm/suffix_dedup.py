@@ -7,7 +7,9 @@ and the anchor's hash is its key. Equal strings have equal anchors at equal plac
 1. Keys are counted. Only those that occur more than once can hold repeats; a filter of them, and one of keys whose
    segments differ, go to the tasks. Segments of very frequent differing keys are cut into parts with longer keys, so
    that a short common passage between ever other neighbours doesn't gather in one shard.
-2. A segment that occurs twice as a whole is removed wherever it occurs; that needs its hash, not its bytes.
+2. A segment that occurs twice as a whole is removed wherever it occurs; that needs its digest, not its bytes. Digests are
+   cryptographic ones under a seed that the driver draws for each run; only keys and filters go by rolling hashes, which
+   may bring different strings together but don't decide what is equal.
 3. Differing segments of a key meet in a shard, each once. The shard's suffix array is made by induced sorting, and the
    permuted common prefixes tell which strings also start in another segment. Parts whose keys are still frequent go to
    no shard: the hashes of their few strings are counted.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import Bloom, U64, bloom, bytes_of, mix, prefix_hashes, row_slices, span_hashes, table, utf8, with_facts, written
+from gridpoint.llm.common import Bloom, U64, bloom, bytes_of, keyed, mix, prefix_hashes, row_slices, run_seed, span_hashes, table, utf8, with_facts, written
 from gridpoint.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LEAST = 200
@@ -45,9 +47,9 @@ PARTS = 8
 class Segments:
     """Of a stretch of rows: each segment's row, start and end in the row, key and hash, and what its parts need."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, rows: np.ndarray, shift: int):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, rows: np.ndarray, shift: int, seed: int):
         """data: the bytes; ends: for each byte the end of its row; rows: for each row its first byte."""
-        self.data, self.shift, self.row_starts = data, shift, rows
+        self.data, self.shift, self.row_starts, self.seed = data, shift, rows, seed
         windows = max(0, len(data) - LEAST + 1)
         self.prefix = prefix_hashes(data)
         if not windows:
@@ -74,7 +76,9 @@ class Segments:
 
     def describe(self) -> None:
         self.end = self.last + LEAST
-        self.hash = span_hashes(self.prefix, self.first, self.end)
+        whole = memoryview(np.ascontiguousarray(self.data))
+        spans = zip(self.first.tolist(), self.end.tolist())
+        self.hash = np.fromiter((keyed(whole[s:e], self.seed) for s, e in spans), np.int64, len(self.first))
         self.row = np.searchsorted(self.row_starts, self.first, side="right") - 1
         self.start = self.first - self.row_starts[self.row] + self.shift
 
@@ -99,7 +103,7 @@ class Segments:
         return self.data[self.first[i] : self.end[i]].tobytes()
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Segments]]:
+def segments(data: np.ndarray, offsets: np.ndarray, seed: int) -> Iterator[tuple[int, Segments]]:
     """First row and segments of slices."""
     for first, last in row_slices(offsets, SLICE):
         begin, end = int(offsets[first]), int(offsets[last])
@@ -107,11 +111,11 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Segme
             continue
         if end - begin <= 2 * SLICE - LEAST:
             own = offsets[first : last + 1] - begin
-            yield first, Segments(data[begin:end], np.repeat(own[1:], np.diff(own)), own[:-1], 0)
+            yield first, Segments(data[begin:end], np.repeat(own[1:], np.diff(own)), own[:-1], 0, seed)
         else:
             for s in range(begin, end - LEAST + 1, SLICE):
                 piece = data[s : min(s + SLICE + LEAST - 1, end)]
-                yield first, Segments(piece, np.full(len(piece), len(piece)), np.zeros(1, np.int64), s - begin)
+                yield first, Segments(piece, np.full(len(piece), len(piece)), np.zeros(1, np.int64), s - begin, seed)
 
 
 def signed(x: np.ndarray, type_: pa.DataType = pa.int64()) -> pa.Array:
@@ -124,14 +128,15 @@ class Dedup:
     def __init__(self, df: DataFrame, key: str, text: str):
         self.kind = df.schema[key].dataType.simpleString()
         self.docs = df.select(F.col(key).alias("id"), utf8(text).alias("text")).withColumn("sign", F.xxhash64("text"))
-        self.share = df.sparkSession.sparkContext.broadcast
+        self.share, self.seed = df.sparkSession.sparkContext.broadcast, run_seed()
 
     def keys(self) -> DataFrame:
         """Keys that occur more than once: their number and whether their segments differ."""
+        seed = self.seed
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
-                for _, s in segments(*bytes_of(batch.column(0))):
+                for _, s in segments(*bytes_of(batch.column(0)), seed):
                     yield pa.RecordBatch.from_arrays([signed(s.key), signed(s.hash)], ["key", "hash"])
 
         counted = self.docs.select("text").mapInArrow(emit, "key long, hash long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
@@ -139,13 +144,14 @@ class Dedup:
 
     def occurrences(self, keys: DataFrame) -> DataFrame:
         """Segments with repeated keys. Those of differing keys come with their bytes, once in each task."""
+        seed = self.seed
         shared = self.share((bloom(keys, "key"), bloom(keys.where("differ"), "key"), bloom(keys.where((F.col("n") >= FREQUENT) & F.col("differ")), "key")))
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (repeated, differing, frequent), told = shared.value, set()
             for batch in found:
                 ids, signs = batch.column(0), batch.column(2).to_numpy()
-                for first, s in segments(*bytes_of(batch.column(1))):
+                for first, s in segments(*bytes_of(batch.column(1)), seed):
                     if not len(s.key):
                         continue
                     cut = frequent.holds(s.key)
@@ -198,7 +204,8 @@ class Dedup:
         return only(False), only(True)
 
     def counted(self, hot: DataFrame) -> DataFrame:
-        """Ranges of strings of LEAST bytes that occur twice, by their hashes. No string starts twice in one segment, as its anchor would differ."""
+        """Ranges of strings of LEAST bytes that occur twice, by their digests. No string starts twice in one segment, as its anchor would differ."""
+        seed = self.seed
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -207,7 +214,8 @@ class Dedup:
                 own = np.repeat(np.arange(len(n)), n)
                 within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 at, take = offsets[own] + within, pa.array(own)
-                strings = span_hashes(prefix_hashes(data), at, at + LEAST)
+                whole = memoryview(np.ascontiguousarray(data))
+                strings = np.fromiter((keyed(whole[s : s + LEAST], seed) for s in at.tolist()), np.int64, len(at))
                 start = batch.column(4).to_numpy()[own] + within
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), signed(strings), batch.column(2).take(take), batch.column(3).take(take), pa.array(start)], ["key", "string", "id", "sign", "start"])
 

@@ -108,3 +108,9 @@ def test_gaps_round_trip():
 
     for values in ([0, 0, 5, 65534, 65535, 65536, 131070, 1 << 31], [], [65535] * 3, [131071]):
         assert unpacked(packed(np.array(values, np.int64))).tolist() == values
+
+
+def test_words_that_made_up_for_each_other_in_sums_stay_apart(spark):
+    rows = [(1, "aaaaaaaa bbbbbbbb cc dd ee"), (2, "ajsflmhb 4qb,,8hk cc dd ee"), (3, "AAAAAAAA bbbbbbbb  cc dd ee")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
