@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "url_filter", "ann", "jaccard", "tiff", "token_counts", "language_id", "packing", "suffix_dedup", "secrets", "conversation_repair", "multi_index")
+MODULES = ("mixing", "url_filter", "ann", "jaccard", "tiff", "token_counts", "language_id", "packing", "suffix_dedup", "secrets", "conversation_repair", "spelling", "multi_index")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
