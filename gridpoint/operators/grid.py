@@ -15,6 +15,8 @@ PREFIX = r"^(#?)(?:<(\d+):)?(?:\^(\d+):)?"
 #: Characters that carry nothing by themselves in a rendered row. Fixed values.
 EMPTY_MARKS = r"^[ #<^|~:0-9\\]*\z"
 PENDING = "map<int,struct<n:int,text:string>>"
+#: Rows that are placed one after another before what they gave is put with the rest: a long table costs no more a row than a short one.
+BLOCK_ROWS = 256
 
 
 def cell(text: Column, header: Column, colspan: Column, rowspan: Column) -> Column:
@@ -38,7 +40,7 @@ def _fill(state: Column) -> Column:
         columns = F.sequence(col, end - 1)
         fillers = F.transform(columns, lambda k: _placed(F.lit(COVERED), F.lit(False), F.lit(1), F.lit(1), F.lit(True), F.coalesce(F.element_at(pending, k)["text"], F.lit("")), k))
         less = F.transform_values(pending, lambda k, v: F.struct(F.when((k >= col) & (k < end), v["n"] - 1).otherwise(v["n"]).alias("n"), v["text"].alias("text")))
-        return F.struct(less.cast(PENDING).alias("pending"), end.alias("col"), F.concat(state["out"], fillers).cast(f"array<{PLACED}>").alias("out"))
+        return F.struct(less.cast(PENDING).alias("pending"), end.alias("col"), F.concat(state["out"], fillers.cast(f"array<{PLACED}>")).alias("out"))
 
     covered = F.coalesce(F.element_at(pending, col)["n"], F.lit(0)) > 0
     return F.when(covered, let(free, filled)).otherwise(state)
@@ -53,7 +55,7 @@ def _take(state: Column, c: Column) -> Column:
         under = F.element_at(pending, col)
         covers = F.when(filler, F.coalesce(under["text"], F.lit(""))).otherwise(F.lit(""))
         own = _placed(c["text"], c["header"], c["colspan"], c["rowspan"], filler, covers, col)
-        out = F.concat(s["out"], F.array(own)).cast(f"array<{PLACED}>")
+        out = F.concat(s["out"], F.array(own).cast(f"array<{PLACED}>"))
         columns = F.sequence(col, col + c["colspan"] - 1)
         less = F.transform_values(pending, lambda k, v: F.struct(F.when(filler & (k == col), F.greatest(v["n"] - 1, F.lit(0))).otherwise(v["n"]).alias("n"), v["text"].alias("text")))
         covering = F.map_from_arrays(columns, F.transform(columns, lambda k: F.struct((c["rowspan"] - 1).alias("n"), c["text"].alias("text"))))
@@ -65,16 +67,47 @@ def _take(state: Column, c: Column) -> Column:
     return let(F.when(filler, state).otherwise(_fill(state)), put)
 
 
-def resolve(rows: Column) -> Column:
-    """Every cell at its column, stand-ins for cells that a row span above covers. rows: array<array<CELL>>."""
-    start = F.struct(F.create_map().cast(PENDING).alias("pending"), F.array().cast(f"array<array<{PLACED}>>").alias("rows"))
+def _side_by_side(cells: Column) -> Column:
+    """Cells that nothing covers, each after the one before it."""
+
+    def put(done: Column, c: Column) -> Column:
+        before = F.get(done, F.size(done) - 1)
+        filler = (c["text"] == COVERED) & ~c["header"]
+        own = _placed(c["text"], c["header"], c["colspan"], c["rowspan"], filler, F.lit(""), F.coalesce(before["col"] + before["colspan"], F.lit(0)))
+        return F.concat(done, F.array(own).cast(f"array<{PLACED}>"))
 
-    def row(state: Column, cells: Column) -> Column:
-        begin = F.struct(state["pending"].alias("pending"), F.lit(0).alias("col"), F.array().cast(f"array<{PLACED}>").alias("out"))
-        end = F.aggregate(cells, begin, _take)
-        return let(end, lambda e: let(_fill(e), lambda s: F.struct(s["pending"].alias("pending"), F.concat(state["rows"], F.array(s["out"])).alias("rows"))))
+    return F.aggregate(cells, F.array().cast(f"array<{PLACED}>"), put)
 
-    return F.aggregate(rows, start, row, lambda s: s["rows"])
+
+def resolve(rows: Column) -> Column:
+    """Every cell at its column, stand-ins for cells that a row span above covers. rows: array<array<CELL>>.
+
+    Rows are folded in blocks: within a fold every step's result is held as it is, and only what still covers columns
+    is handed on, so no row is copied for those after it.
+    """
+    step = f"array<struct<pending:{PENDING},out:array<{PLACED}>>>"
+    start = F.array(F.struct(F.create_map().cast(PENDING).alias("pending"), F.array().cast(f"array<{PLACED}>").alias("out"))).cast(step)
+    pending_of = lambda done: F.get(done, F.size(done) - 1)["pending"]
+
+    def row(pending: Column, cells: Column) -> Column:
+        begin = F.struct(pending.alias("pending"), F.lit(0).alias("col"), F.array().cast(f"array<{PLACED}>").alias("out"))
+        spanned = let(F.aggregate(cells, begin, _take), lambda e: let(_fill(e), lambda s: F.struct(s["pending"].alias("pending"), s["out"].alias("out"))))
+        free = F.forall(F.map_values(pending), lambda v: v["n"] <= 0) & F.forall(cells, lambda c: c["rowspan"] == 1)
+        return F.when(free, F.struct(pending.alias("pending"), _side_by_side(cells).alias("out"))).otherwise(spanned)
+
+    def rows_of(done: Column, cells: Column) -> Column:
+        return F.concat(done, F.array(row(pending_of(done), cells)).cast(step))
+
+    def block(done: Column, part: Column) -> Column:
+        begin = F.array(F.struct(pending_of(done).alias("pending"), F.array().cast(f"array<{PLACED}>").alias("out"))).cast(step)
+        placed = lambda steps: F.struct(
+            pending_of(steps).alias("pending"), F.transform(F.slice(steps, 2, BLOCK_ROWS), lambda s: s["out"]).alias("out"))
+        return F.concat(done, F.array(let(F.aggregate(part, begin, rows_of), placed)).cast(blocks))
+
+    blocks = f"array<struct<pending:{PENDING},out:array<array<{PLACED}>>>>"
+    none = F.transform(start, lambda s: F.struct(s["pending"].alias("pending"), F.array().cast(f"array<array<{PLACED}>>").alias("out"))).cast(blocks)
+    parts = lambda rows: F.transform(F.sequence(F.lit(0), F.floor(F.size(rows) / BLOCK_ROWS).cast("int")), lambda k: F.slice(rows, k * BLOCK_ROWS + 1, BLOCK_ROWS))
+    return F.flatten(F.transform(F.aggregate(let(rows, parts), none, block), lambda s: s["out"]))
 
 
 def filled(placed: Column) -> Column:

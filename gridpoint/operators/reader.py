@@ -30,19 +30,16 @@ def header_cells(rows: Column, facts: Column) -> Column:
     # A plain row belongs to the header where the row before it does: the last row that isn't plain is a marked one.
     states = F.transform(facts, lambda f: F.when(plain(f), 2).when(f["some_header"], 1).otherwise(0))
 
-    def follow(done: Column, s: Column) -> Column:
-        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(False))
-        return F.concat(done, F.array(F.when(s == 2, last).otherwise(s == 1)))
-
     def found(rows: Column, facts: Column, states: Column, under: Column, first: Column) -> Column:
         marked = F.flatten(F.transform(rows, lambda row, i: cells(F.filter(row, lambda c: c["header"]), i, F.lit(True))))
-        extra = F.flatten(F.transform(rows, lambda row, i: cells(row, i, F.get(under, i) & (F.get(states, i) == 2))))
+        extra = F.flatten(F.transform(rows, lambda row, i: cells(row, i, F.get(under, i) == "3")))
         leading = F.flatten(F.transform(rows, lambda row, i: cells(row, i, (i < first) & ~F.get(facts, i)["banner_row"])))
         return F.when(F.exists(states, lambda s: s == 1), F.concat(marked, extra)).otherwise(leading)
 
     number = F.array_position(F.transform(facts, lambda f: f["number"]), F.lit(True)) - 1
     first = F.when(number >= 0, F.least(number, F.lit(3))).otherwise(F.lit(3))
-    under = lambda states: F.aggregate(states, F.array().cast("array<boolean>"), follow)
+    # One pass over the states as text: each 2 right after a 1, or after one so marked, becomes a 3.
+    under = lambda states: F.split(F.regexp_replace(F.array_join(F.transform(states, lambda s: s.cast("string")), ""), r"(?:(?<=1)|\G(?!^))2", "3"), "")
     return let(states, lambda s: bind(rows, facts, s, under(s), first, body=found)).cast(f"array<{HEADER}>")
 
 
