@@ -65,6 +65,16 @@ class Namer:
         return other if name in self.clashing else name
 
 
+#: 64-bit words of a set's mark.
+MARK = 4
+
+
+def mark_of(shingles: np.ndarray) -> np.ndarray:
+    """Which of 64 * MARK classes hold an odd number of a set's shingles. Two sets differ in as many shingles as their marks in bits, at least."""
+    odd = np.bincount((shingles & U64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def each_set(batch: pa.RecordBatch, size: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     yield from shingle_sets(*bytes_of(batch.column(1)), size, seed)
 
@@ -304,17 +314,21 @@ class Join:
         def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
                 n, node, other = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+                marks = np.zeros((batch.num_rows, MARK), np.int64)
                 for i, s in each_set(batch, size, seed):
                     n[i] = len(s)
                     if len(s):
                         node[i], other[i] = digests(s, bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, other))], ["key", "n", "node", "other"])
+                        marks[i] = mark_of(s)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, other)), *map(pa.array, marks.T)], ["key", "n", "node", "other", *self_marks])
 
-        out = written(self.docs.mapInArrow(sign, f"key {self.kind}, n long, node long, other long"), "signatures")
+        self_marks = [f"m{k}" for k in range(MARK)]
+        out = written(self.docs.mapInArrow(sign, f"key {self.kind}, n long, node long, other long, " + ", ".join(f"{m} long" for m in self_marks)), "signatures")
         several = out.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
         self.namer = Namer(frozenset(r["node"] for r in several.select("node").toLocalIterator()), bits)  # none among fewer than about 2**32 sets
         if self.namer.clashing:
             out = out.join(F.broadcast(several.select("node", F.lit(True).alias("clash"))), "node", "left").withColumn("node", F.when(F.col("clash"), F.col("other")).otherwise(F.col("node")))
+        self.marks = out.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.array(*(F.first(m) for m in self_marks)).alias("mark"))
         return out.select("key", "n", "node")
 
     def frequent(self, shingles: int, flush: int = 4_000_000, range_size: int = 2_000_000) -> DataFrame:
@@ -412,8 +426,13 @@ class Join:
         return self.docs.mapInArrow(emit, "node long, shingles array<long>").dropDuplicates(["node"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b), a written table, that link."""
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        """Those of the pairs (a, b), a written table, that link. Pairs whose marks differ in more bits than linked sets do in shingles aren't compared."""
+        marked = lambda n: self.marks.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("mark").alias(f"m{n}"))
+        total = pairs.count()
+        both = salted(salted(pairs, marked("a"), "a", "b", total), marked("b"), "b", "a", total, counted=pairs)
+        apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        pairs = written(both.where(apart * (100 + self.percent) <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "comparable")
+        sets = self.sets(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared"))
         total, named = pairs.count(), lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
         both = salted(salted(pairs, named("a"), "a", "b", total), named("b"), "b", "a", total, counted=pairs)
         common = F.size(F.array_intersect("sa", "sb"))

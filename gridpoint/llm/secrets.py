@@ -141,7 +141,7 @@ def mask(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
         return F.when(F.size(done) == 0, F.array(s)).when(s["start"] > last["end"], F.concat(done, F.array(s))).otherwise(
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))))
 
-    live = found.select(F.col(key).alias("key"), "sign", F.aggregate(ends, nothing, merge).alias("ranges")).dropDuplicates(["key", "sign"])
+    live = written(found.select(F.col(key).alias("key"), "sign", F.aggregate(ends, nothing, merge).alias("ranges")).dropDuplicates(["key", "sign"]), "masks")  # its size is known to the join
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row")).withColumn("text", F.col("row").getField(text))
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     both = rows.join(live, F.col("row").getField(key).eqNullSafe(F.col("key")) & (own == F.col("sign")), "left")
