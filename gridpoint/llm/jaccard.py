@@ -331,7 +331,7 @@ class Join:
         self.marks = out.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.array(*(F.first(m) for m in self_marks)).alias("mark"))
         return out.select("key", "n", "node")
 
-    def frequent(self, shingles: int, flush: int = 4_000_000, range_size: int = 2_000_000) -> DataFrame:
+    def frequent(self, shingles: int, flush: int = 1_000_000, range_size: int = 2_000_000) -> DataFrame:
         """key, level: (halves of) shingles in FREQUENT documents or more, and how many STEPs beyond. A row without a key tells how many others recur, and how often.
 
         Tasks sort their shingles and send them by range, as gaps of two bytes; of one that a task has more than FREQUENT
