@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, mix, run_seed, salted, shingle_sets, table, utf8, with_facts, written
+from gridpoint.llm.common import U64, Bloom, bloom, bytes_of, in_parts, mix, run_seed, salted, shingle_sets, table, utf8, with_facts, written
 from gridpoint.llm.components import connected_components
 
 #: Shingles in so many documents are put behind the others, and again at every STEP times as many.
@@ -95,7 +95,7 @@ def levels(shingles: np.ndarray, bands: list[Bloom]) -> np.ndarray:
     return out
 
 
-def ordered(sets: Iterator[np.ndarray], bands: list[Bloom], most: int = 400_000) -> Iterator[np.ndarray]:
+def ordered(sets: Iterator[np.ndarray], bands: list[Bloom], most: int = 200_000) -> Iterator[np.ndarray]:
     """Each set's shingles in the order of all documents; their bands are looked up for many sets at a time."""
     held, n = [], 0
 
@@ -312,7 +312,7 @@ class Join:
         size, seed, bits = self.size, self.seed, self.namer.bits
 
         def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in found:
+            for batch in in_parts(found):
                 n, node, other = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
                 marks = np.zeros((batch.num_rows, MARK), np.int64)
                 for i, s in each_set(batch, size, seed):
@@ -359,7 +359,7 @@ class Join:
                 extra = [(times[many[more[r] : more[r + 1]]] - most).astype("<u4").tobytes() for r in some]
                 return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (data, which, extra))], ["range", "data", "which", "extra"])
 
-            for batch in found:
+            for batch in in_parts(found):
                 for _, s in each_set(batch, size, seed):
                     held.append(halves(s))
                     n += len(s)
@@ -389,8 +389,8 @@ class Join:
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, told = shared.value, set()
-            for batch in found:
-                if len(told) > 400_000:
+            for batch in in_parts(found):
+                if len(told) > 200_000:
                     told.clear()
                 keys, places, node, sets = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [], []
                 for _, s in each_set(batch, size, seed):
@@ -414,7 +414,7 @@ class Join:
 
         def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filter_ = shared.value
-            for batch in found:
+            for batch in in_parts(found):
                 sets = [(namer(s), s) for _, s in each_set(batch, size, seed) if len(s)]
                 node = np.array([x for x, _ in sets], np.int64)
                 keep = np.flatnonzero(filter_.holds(node)) if len(node) else []

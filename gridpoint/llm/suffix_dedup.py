@@ -37,8 +37,8 @@ from gridpoint.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LEAST = 200
 GRAM = 100
-SLICE = 1 << 20
-SHARD = 1 << 20
+SLICE = 1 << 19
+SHARD = 1 << 19
 #: Keys of differing segments that occur so often are cut into parts.
 FREQUENT = 1000
 PARTS = 8
@@ -169,7 +169,7 @@ class Dedup:
                         data.append(s.bytes(i) if d and one not in told else None)
                         if d:
                             told.add(one)
-                    if len(told) > 400_000:
+                    if len(told) > 100_000:
                         told.clear()
                     rows = first + s.row[at]
                     yield pa.RecordBatch.from_arrays([signed(s.key[at]), signed(s.hash[at]), ids.take(pa.array(rows)), pa.array(signs[rows]), pa.array(s.start[at]), pa.array(s.end[at] - s.first[at]), pa.array(data, pa.binary()), pa.array(longer[at])], ["key", "hash", "id", "sign", "start", "length", "data", "part"])
