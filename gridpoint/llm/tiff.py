@@ -32,6 +32,8 @@ TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q
 
 PAGE_WIDTH = 64
 PAGE_ROWS = 2048
+#: A page of more bytes is not decoded but gives an error row: it would not fit in a task, however small its file.
+MOST_PAGE_BYTES = 1 << 28
 STRIP = 256
 PAGE_SCHEMA = "page int, width int, height int, bits int, samples int, compression int, predictor int, pixels binary, error string"
 
@@ -261,6 +263,8 @@ def decode_page(data: bytes, order: str, tags: dict[int, list]) -> tuple[dict, b
         rows = high if tiled else min(high, height - k // across % down * high)
         if rows * row_bytes > most * max(0, min(sizes[k], len(data) - places[k])):
             raise ValueError("more samples than a strip can hold")
+    if (n := planes * height * width * inside * type_.itemsize) > MOST_PAGE_BYTES:
+        raise ValueError(f"a page of {n} bytes")
     out = np.zeros((planes, height, width, inside), type_.newbyteorder("="))
     for k in range(planes * across * down):
         plane, row, column = k // (across * down), k // across % down * high, k % across * wide

@@ -118,3 +118,12 @@ def test_query(spark, tmp_path):
         whole = data + b"\0" * (-len(data) % 64 if data else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+
+
+def test_a_page_too_large_for_a_task_is_an_error_row():
+    from gridpoint.llm.tiff import MOST_PAGE_BYTES, read_pages, write_pages
+
+    rows = MOST_PAGE_BYTES // 64 + 64
+    data = write_pages(b"\0" * (64 * rows), page_rows=rows)  # a small file, as zeros are
+    (page,) = read_pages(data)
+    assert len(data) < MOST_PAGE_BYTES // 100 and page["error"].startswith("ValueError('a page of")
