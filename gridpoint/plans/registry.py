@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reading", "gating", "assembling", "generating")
+MODULES = ("reading", "branches", "gating", "assembling", "generating")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

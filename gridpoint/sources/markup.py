@@ -49,8 +49,14 @@ def visible(raw: Column) -> Column:
     body = F.regexp_replace(F.coalesce(raw, F.lit("")), DROP, " ")
 
     def shown(b: Column) -> Column:
-        hidden = F.filter(F.regexp_extract_all(b, F.lit(HIDDEN), F.lit(0)), lambda m: ~F.regexp_extract(m, HIDDEN, 2).rlike(ROW_TAG))
-        return F.aggregate(hidden, b, lambda s, m: F.replace(s, m, F.lit(" ")))
+        # What lies between the elements, and each element in its place: one that stays keeps all it holds, hidden parts too.
+        between, elements = F.split(b, HIDDEN, -1), F.regexp_extract_all(b, F.lit(HIDDEN), F.lit(0))
+
+        def put(between: Column, elements: Column) -> Column:
+            kept = F.transform(elements, lambda m: F.when(F.regexp_extract(m, HIDDEN, 2).rlike(ROW_TAG), m).otherwise(" "))
+            return F.array_join(F.zip_with(between, kept, lambda text, m: F.concat(text, F.coalesce(m, F.lit("")))), "")
+
+        return F.when(b.rlike(HIDDEN), bind(between, elements, body=put)).otherwise(b)
 
     return let(body, shown)
 
