@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridpoint.operators.grid import CELL, cell, render, resolve
 from gridpoint.synth import words as W
 from gridpoint.synth.coordinates import POINT, TARGET, Rates, build
-from gridpoint.synth.draw import Draw, among
+from gridpoint.synth.draw import Draw, among, distinct_seeds
 from gridpoint.synth.empty import build_empty
 
 #: How often each shape is drawn among tables with coordinates. Fixed values.
@@ -51,7 +51,7 @@ def peak(d: Draw, r: Column, group: Column, p: Column) -> Column:
 def shaped(seeds: DataFrame, shape: str | None = None, seed: str = "seed") -> DataFrame:
     """seed, shape, n_groups, regions and, for each group and region, its peak or null."""
     d = Draw(F.col("seed"))
-    out = seeds.where(F.col(seed).isNotNull()).select(F.col(seed).alias("seed")).distinct()
+    out = distinct_seeds(seeds, seed)
     out = out.withColumn("shape", d.pick(SHAPES, "shape") if shape is None else F.lit(shape)).withColumn("n", d.whole(3, 8, "shape-regions"))
     out = out.withColumn("n_groups", F.when(F.col("shape") == "column groups", d.whole(2, 3, "shape-groups")).otherwise(1)).withColumn("regions", regions(d, F.col("n")))
     groups = F.sequence(F.lit(0), F.col("n_groups") - 1)
