@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from gridpoint.functions import text as X
 from gridpoint.functions.text import statistic_named_by
 from gridpoint.operators import gate as K
 from gridpoint.operators import grid as G
@@ -126,3 +127,21 @@ def test_compared_counts_repeats_and_nulls(spark):
     left, right = (spark.createDataFrame(r, "x int") for r in ([(1,), (1,), (2,), (None,)], [(1,), (3,), (None,)]))
     got = {r.x: (r.n_both, r.n_only_left, r.n_only_right) for r in T.compared(left, right, ("x",)).collect()}
     assert got == {1: (1, 1, 0), 2: (0, 1, 0), 3: (0, 0, 1), None: (1, 0, 0)}
+
+
+def test_one_look_gives_what_the_whole_rules_give(spark):
+    texts = ["", "5", "-72", "+3", "- 3", "2.50", "a  b", " a", "a b ", "a&amp;b", "<b>1</b>", "3*", "inf", "nan", "1,234", "4 a", "x y", "- .5", "-", "1_2", "٣", "1 2 3", "090012005", "12 34 56", "1234567890123456", "z (mm)"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    own, whole = ("clean", "as_number"), ("_settled", "_marked_number")
+    got = rows.select("t", *(getattr(X, f)(F.col("t")).alias(f) for f in own + whole), F.size(X.triples_in(F.col("t"))).alias("triples")).collect()
+    for r in got:
+        assert r.clean == r._settled and str(r.as_number) == str(r._marked_number), r.t
+    assert {r.t for r in got if r.triples} == {"1 2 3", "090012005", "12 34 56"}
+
+
+def test_rows_below_a_span_are_placed_as_before(spark):
+    head = "<table><tr><td rowspan=2>a</td><td>1</td></tr><tr><td>2</td></tr>"
+    raws = [head + "<tr><td>3</td><td>4</td></tr>" * 2, "<table><tr><td>1</td><td rowspan=3>b</td></tr><tr></tr><tr></tr><tr></tr><tr><td>x</td><td>y</td></tr>", "<table><tr><td rowspan=2147483647>a</td></tr><tr><td>2</td></tr>"]
+    rows = spark.createDataFrame([(i, r + "</table>") for i, r in enumerate(raws)], "i int, raw string")
+    got = [r.g for r in rows.select("i", G.render(G.resolve(markup.from_source(F.col("raw")))).alias("g")).orderBy("i").collect()]
+    assert got == ["^2:a | 1\n~ | 2\n3 | 4\n3 | 4", "1 | ^3:b\nx | ~ | y", "^2147483647:a\n~ | 2"]
