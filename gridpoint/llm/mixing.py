@@ -33,11 +33,13 @@ TOLERANCE = 1e-12
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 DIMENSIONS = tuple(POWERS)
 WORD = r"[^\x20\x09-\x0D]+"
+#: The same characters in the matcher's own class, which it tests by one look; nothing follows, so it need not give any back.
+WORD_RUN = r"\S++"
 
 
 def surface(text: Column, words: Column) -> Column:
     """A topic by the look of a text; any other column of topics can be given to described() instead."""
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
     return (
         F.when(words == 0, "empty").when(count("|") * 20 >= words, "list").when(count("#$%&*") * 20 >= words, "noisy")
         .when(count("0123456789") * 40 >= F.length(text), "records").when(words >= 1000, "long").otherwise("prose")
@@ -48,7 +50,7 @@ def described(df: DataFrame, text: str = "text", topic: str | None = None) -> Da
     """The rows of df as one column, row, beside n (words) and the dimensions source, lang and topic."""
     packed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
     t, blank = F.coalesce(F.col("row").getField(text), F.lit("")), F.lit("")
-    counted = packed.select("row", F.regexp_count(t, F.lit(WORD)).cast("long").alias("n"))
+    counted = packed.select("row", F.regexp_count(t, F.lit(WORD_RUN)).cast("long").alias("n"))
     own = F.coalesce(F.col("row").getField(topic).cast("string"), blank) if topic else surface(t, F.col("n"))
     return counted.select("row", "n", F.coalesce("row.source", blank).alias("source"), F.coalesce("row.lang", blank).alias("lang"), own.alias("topic"))
 

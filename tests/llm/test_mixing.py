@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from gridpoint.llm import mixing
 from gridpoint.llm.mixing import POWERS, TOLERANCE, described, margins, mixed, probabilities, rake, sampled, scale_for
 
 
@@ -60,3 +63,12 @@ def test_whole_fraction_and_null_keys(spark):
     half = mixed(df, 0.5, null_keys=True).where("doc_id IS NULL AND _selected").count()
     assert 10 < half < 50
     assert mixed(df, 0.5).where("doc_id IS NULL AND _selected").count() == 0
+
+
+def test_words_and_marks_are_counted_as_the_sql_counts_them(spark):
+    texts = ["", " ", "a b", "a\x0bb\x0cc\rd\ne\tf", "a b c", "\x1ca \x85b", "|a| b", "#1 $2 %3 &4 *5", "٣ 7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumns({"source": F.lit("s"), "lang": F.lit("l")})
+    got = {r.t: (r.n, r.topic) for r in mixing.described(rows).select(F.col("row.text").alias("t"), "n", "topic").collect()}
+    for t in texts:
+        assert got[t][0] == len(re.findall(mixing.WORD, t)), t
+    assert got["|a| b"][1] == "list" and got["#1 $2 %3 &4 *5"][1] == "noisy" and got["٣ 7"][1] == "records" and got["a b"][1] == "prose" and got[" "][1] == "empty"
