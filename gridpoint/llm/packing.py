@@ -19,7 +19,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,18 +61,23 @@ class ByteLevelEncoder:
     run between such spaces is encoded once and then looked up. A text that holds a special string goes to the library.
     """
 
-    def __init__(self, json_path: str, ranks_path: str):
+    def __init__(self, json_path: str, ranks_path: str, specials: tuple[str, ...] | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.library = Tokenizer.from_file(json_path)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.json_path, self.specials = json_path, special_strings(json_path) if specials is None else specials
         self.chunks = Chunks(self.encode)
 
+    @cached_property
+    def library(self):
+        """Loaded by the first text that needs it: most workers meet none, and it takes more memory than the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,17 +86,24 @@ class ByteLevelEncoder:
         return head + b"".join(map(self.chunks.__getitem__, rest))
 
 
+def special_strings(json_path: str) -> tuple[str, ...]:
+    from tokenizers import Tokenizer
+
+    return tuple(t.content for t in Tokenizer.from_file(json_path).get_added_tokens_decoder().values())
+
+
 @lru_cache(2)
-def encoder(json_path: str, ranks_path: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(json_path, ranks_path)
+def encoder(json_path: str, ranks_path: str, specials: tuple[str, ...] | None = None) -> ByteLevelEncoder:
+    return ByteLevelEncoder(json_path, ranks_path, specials)
 
 
 def cut(df: DataFrame, json_path: str, ranks_path: str, key: str = "doc_id", text: str = "text", length: int = 2048, end_mark: int = 1) -> DataFrame:
     """Pieces of every document: full ones and a rest, with the checksum of their identifiers."""
+    specials = special_strings(json_path)  # on the driver, once
     kind, end = df.schema[key].dataType.simpleString(), np.array([end_mark], "<u4").tobytes()
 
     def pieces(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(json_path, ranks_path)
+        model = encoder(json_path, ranks_path, specials)
         for batch in found:
             rows, start, size, crc, total = [], [], [], [], []
             for i, t in enumerate(batch.column(1)):

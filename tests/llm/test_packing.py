@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridpoint.llm.packing import encoder, fractional_patterns, pack_documents, whole_patterns
+from gridpoint.llm.packing import ByteLevelEncoder, encoder, fractional_patterns, pack_documents, special_strings, whole_patterns
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(PATHS[0])
@@ -99,3 +99,11 @@ def test_packing(spark):
         total += sum(n for _, n in pieces)
     assert total >= 0.95 * 2048 * (len(by_sequence) - 1)
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_workers_load_the_library_only_for_special_strings():
+    model = ByteLevelEncoder(*PATHS, special_strings(PATHS[0]))
+    assert model.ids("plain words, twice plain words") == expected("plain words, twice plain words")
+    assert "library" not in vars(model)
+    text = f"words {model.specials[0]} words"
+    assert model.ids(text) == expected(text) and "library" in vars(model)
