@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpoint.operators.grid import CELL, cell, render, resolve
+from gridpoint.operators.grid import CELL, cell, placed_from, render
 from gridpoint.synth import words as W
 from gridpoint.synth.coordinates import POINT, TARGET, Rates, build
 from gridpoint.synth.draw import Draw, among, distinct_seeds
@@ -92,7 +92,7 @@ def build_shapes(seeds: DataFrame, rates: Rates = Rates(), shape: str | None = N
     caption = F.concat(caption, F.when(space == "TAL", " Coordinates are in Talairach space.").when(space == "MNI", " Coordinates are in MNI space.").otherwise(""))
     footer = F.when(d.happens(rates.footer, "footer"), d.pick(W.FOOTER_PARTS, "footer-part")).otherwise("")
     out = tables.select("seed", grid.alias("grid"), caption.alias("caption"), footer.alias("footer"), F.struct(space.alias("space"), told.alias("analyses")).cast(TARGET).alias("target"), F.col("shape").alias("kind"), F.lit(True).alias("reader_cannot"))
-    return out.withColumn("table_serialised", render(resolve(F.col("grid")))).drop("grid")
+    return out.withColumn("table_serialised", render(placed_from("grid"))).drop("grid")
 
 
 def build_tables(seeds: DataFrame, rates: Rates = Rates(), seed: str = "seed") -> DataFrame:

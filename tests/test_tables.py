@@ -1,5 +1,6 @@
 """Reading long and odd texts, streams, the gate on all features, and analyses."""
 
+import threading
 import time
 
 import pytest
@@ -145,3 +146,15 @@ def test_rows_below_a_span_are_placed_as_before(spark):
     rows = spark.createDataFrame([(i, r + "</table>") for i, r in enumerate(raws)], "i int, raw string")
     got = [r.g for r in rows.select("i", G.render(G.resolve(markup.from_source(F.col("raw")))).alias("g")).orderBy("i").collect()]
     assert got == ["^2:a | 1\n~ | 2\n3 | 4\n3 | 4", "1 | ^3:b\nx | ~ | y", "^2147483647:a\n~ | 2"]
+
+
+def test_models_of_folds_are_fitted_beside_each_other(spark):
+    rows = spark.range(40).select(F.col("id").alias("table_id"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("double").alias("a"))
+    met = threading.Barrier(5, timeout=60)
+
+    def fitter(part):
+        met.wait()  # passes only when all five fits have begun
+        return K.fit(part, names=("a",))
+
+    scored, held_out = K.out_of_fold(rows, fitter)
+    assert held_out and scored.count() == 40 and scored.where((F.col("score") > 0.5) != (F.col("y") == 1)).isEmpty()
