@@ -213,6 +213,7 @@ def bloom(df: DataFrame, column: str, most_bits: int = 1 << 30) -> Bloom:
         return pa.table({"block": pa.array([keys.column("block")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     rows = df.select(F.col(column).alias("key")).mapInArrow(dealt, "block int, key long").groupBy("block").applyInArrow(fill, "block int, bits binary")
+    rows = rows.coalesce(max(8, blocks // 16))  # each partition is a job of its own below
     for r in rows.toLocalIterator():  # bounded by most_bits
         out.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out

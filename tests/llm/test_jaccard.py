@@ -2,6 +2,10 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from gridpoint.llm import common
 from gridpoint.llm.components import connected_components
 from gridpoint.llm.jaccard import jaccard_components
 
@@ -114,3 +118,20 @@ def test_words_that_made_up_for_each_other_in_sums_stay_apart(spark):
     rows = [(1, "aaaaaaaa bbbbbbbb cc dd ee"), (2, "ajsflmhb 4qb,,8hk cc dd ee"), (3, "AAAAAAAA bbbbbbbb  cc dd ee")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+def test_a_filter_takes_few_jobs_over_many_partitions(spark):
+    keys = spark.range(1000).select((F.col("id") * 7919).alias("key"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("filter", "a filter")
+    try:
+        made = common.bloom(keys, "key")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("filter")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made.holds(np.arange(1000) * 7919).all()
+    assert 0 < len(jobs) < 20
