@@ -10,6 +10,8 @@ from gridpoint.functions import text as X
 from gridpoint.functions.text import statistic_named_by
 from gridpoint.operators import gate as K
 from gridpoint.operators import grid as G
+from gridpoint.operators import features as V
+from gridpoint.operators import reader as R
 from gridpoint.operators import trainset as T
 from gridpoint.operators.features import NAMES
 from gridpoint.plans import factory as M
@@ -158,3 +160,36 @@ def test_models_of_folds_are_fitted_beside_each_other(spark):
 
     scored, held_out = K.out_of_fold(rows, fitter)
     assert held_out and scored.count() == 40 and scored.where((F.col("score") > 0.5) != (F.col("y") == 1)).isEmpty()
+
+
+def test_one_look_at_marks_beyond_ascii_and_at_several_numbers(spark):
+    texts = ["12 ± 3", "é b", "a b", "a – b", "− 3", "x​y", "[0.1, 0.9]", "1,234 a", "1 234", "1,234,567*", "12, 345", "1, 2", "< 1,000", "(1) 2 3", "3 and 4", "#1,000", "٣,٣٣٣", "1,23", "1.5, 2", "5 a", "- 1,000", "1 000"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", X.clean(F.col("t")).alias("clean"), X._settled(F.col("t")).alias("settled"), X.as_number(F.col("t")).alias("number"), X._marked_number(F.col("t")).alias("marked"),
+                      F.col("t").rlike(X.CLEAN_ALREADY).alias("look"), F.transform(G.parse(F.concat(F.lit("5 | "), "t"))[0], lambda c: c["text"]).alias("cells")).collect()
+    for r in got:
+        assert r.clean == r.settled and str(r.number) == str(r.marked), r.t
+    assert {r.t for r in got if r.look} >= {"12 ± 3", "é b"}  # taken as they are, where the whole rules ran before
+    assert {r.t: r.cells for r in got}["12 ± 3"] == ["5", "12 ± 3"]
+
+
+def test_lists_of_words_match_alike_behind_a_look(spark):
+    words = [w for p in V.STARTS for w in "".join(c if c.isalnum() else " " for c in p.replace(r"\b", " ").replace(r"\s", " ")).split()]
+    texts = [" ".join(words[i : i + 3]) for i in range(0, len(words), 3)] + ["ſulcus Nūcleus K KE mm3", "ſcale Left R/L L | R", "peak voxel local  maxima BA 4 x, y, z mm ^3", "İnsula ınsula THALAMUS İnventory"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) == F.regexp_extract_all("t", F.lit(V.led(p)), F.lit(0)) for p in V.STARTS]
+    assert rows.select(*(F.every(c) for c in pairs)).first() == (True,) * len(pairs)
+
+
+def test_values_bound_together_take_one_lambda(spark):
+    deep = X.bind(*(F.lit(i) for i in range(120)), body=lambda *v: v[0] + v[119])  # one in another, these were over the analyzer's 100 passes
+    assert spark.range(1).select(deep.alias("n")).first().n == 119
+
+
+def test_cells_at_columns(spark):
+    raws = ["<table><tr><td>1</td><td colspan=2>2</td><td>3</td></tr><tr><td rowspan=2>4</td><td>5</td><td>6</td><td>7</td></tr><tr><td>8</td><td>9</td></tr></table>"]
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select(G.resolve(markup.from_source(F.col("raw")), G.with_value).alias("rows"))
+    at = lambda last: F.transform("rows", lambda row: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda col: R.value_at(row, col, last)["text"]))
+    got = rows.select(at(True).alias("last"), at(False).alias("first"), G.width(F.col("rows")).alias("width"), R.numeric_columns(F.col("rows"), F.lit(4)).alias("numeric")).first()
+    assert got.last == got.first == [["1", "2", "2", "3", None], ["4", "5", "6", "7", None], ["~", "8", "9", None, None]]
+    assert got.width == 4 and got.numeric == [0, 1, 2, 3]
