@@ -10,6 +10,7 @@ from gridpoint.functions import text as X
 from gridpoint.functions.text import statistic_named_by
 from gridpoint.operators import gate as K
 from gridpoint.operators import grid as G
+from gridpoint.operators import blocks as B
 from gridpoint.operators import features as V
 from gridpoint.operators import reader as R
 from gridpoint.operators import trainset as T
@@ -193,3 +194,14 @@ def test_cells_at_columns(spark):
     got = rows.select(at(True).alias("last"), at(False).alias("first"), G.width(F.col("rows")).alias("width"), R.numeric_columns(F.col("rows"), F.lit(4)).alias("numeric")).first()
     assert got.last == got.first == [["1", "2", "2", "3", None], ["4", "5", "6", "7", None], ["~", "8", "9", None, None]]
     assert got.width == 4 and got.numeric == [0, 1, 2, 3]
+
+
+def test_blocks_that_are_taken_are_not_looked_at_again(spark):
+    """The rows of a table are judged for columns that are free and hold a negative number; the blocks are the same."""
+    row = "<tr><td>a</td><td>-4</td><td>8</td><td>6</td><td>-12</td><td>3</td><td>9</td><td>5</td></tr>"
+    heads = ["<th>Region</th><th>x</th><th>y</th><th>z</th><th>a</th><th>b</th><th>c</th><th>d</th>", "<th>Region</th><th>a</th><th>b</th><th>c</th><th>d</th><th>e</th><th>f</th><th>g</th>"]
+    raws = [f"<table><tr>{h}</tr>{row * 2}</table>" for h in heads] + [f"<table><tr>{heads[1]}</tr>{row.replace('-', '') * 2}</table>"]
+    tables = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "table_id int, raw string")
+    found = B.coordinate_blocks(R.prepared(tables, markup.from_source(F.col("raw"))))
+    assert [[tuple(b) for b in r.blocks] for r in found.orderBy("table_id").select("blocks").collect()] == [[(1, 3), (4, 6)], [(1, 3), (4, 6)], []]
+    assert "_listed" not in found.columns  # axes that an earlier block covers were judged row by row before
